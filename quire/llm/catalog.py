@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing, tokens
+from quire.llm import packing, splitting, tokens
+from quire.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_sections(table(spark, d, "paragraphs"), table(spark, d, "sections"), table(spark, d, "split_limits"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(p1_pieces(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -24,7 +33,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_ids, p7_packed, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_packed, p7_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
