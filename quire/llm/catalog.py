@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, splitting, tokens
+from quire.llm import packing, spans, splitting, tokens
 from quire.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(p1_pieces(spark, d))
 
 
+def _span_texts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "paragraphs").select("record_id", F.col("ingested_at").alias("at"), "text")
+    return p.unionByName(table(spark, d, "distilled").select("record_id", F.col("written_at").alias("at"), F.col("body_md").alias("text")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.pairs(spans.repeats(_span_texts(spark, d)))
+
+
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    texts = _span_texts(spark, d)
+    return spans.shared_share(spans.repeats(texts), texts)
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.spans(spans.repeats(_span_texts(spark, d)))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -33,7 +51,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_packed, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p6_ids, p7_packed, p7_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
