@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, spans, splitting, tokens
+from quire.llm import packing, spans, splitting, subjects, tokens
 from quire.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fills(packing.packed_documents(spark, d), packing.capacity_of(spark, d))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p6_ids, p7_packed, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
