@@ -41,23 +41,20 @@ def _joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
-def gram_hashes(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of the grams of 8, 16, 32, 64 and K characters at every position that has one."""
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the K-grams at every position that has one."""
     h = (codes.astype(np.uint64) + np.uint64(0x51)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
-    out: dict[int, np.ndarray] = {}
     n = 1
-    while n < 64:
+    while n < 32:
         h = _joined(h[:-n], h[n:], n)
         n *= 2
-        out[n] = h
     m = len(codes) - K + 1
-    out[K] = _joined(out[64][:m], out[32][64 : 64 + m], K)
-    return out
+    return _joined(_joined(h[:m], h[32 : 32 + m], 32), h[64 : 64 + m], K)
 
 
-def anchors(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, least: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Anchor positions in the concatenated texts, and the gram hashes.
+def anchors(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor positions in the concatenated texts, and the K-gram hashes.
 
     Text i is ``codes[starts[i]:stops[i]]``; those shorter than ``least``
     have none.
@@ -65,7 +62,7 @@ def anchors(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, least: int
     grams = gram_hashes(codes)
     w = least - K + 1
     bits = np.uint64(24)
-    key = (grams[K] >> bits << bits) | np.arange(len(grams[K]), dtype=np.uint64)
+    key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     low, n = key, 1
     while 2 * n <= w:
         low = np.minimum(low[:-n], low[n:])
@@ -111,18 +108,17 @@ def _anchor_rows(df: DataFrame, least: int) -> DataFrame:
                     lens = np.array([len(t) for _, _, t in group])
                     stops = np.cumsum(lens)
                     starts = stops - lens
-                    at, grams = anchors(codes, starts, stops, least)
+                    at, hashes = anchors(codes, starts, stops, least)
                     which = np.searchsorted(stops, at, side="right")
                     rows = np.array([i for i, _, _ in group])[which]
                     offs = np.array([o for _, o, _ in group])[which]
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), pa.array((at - starts[which] + offs).astype(np.int32)), *[pa.array(grams[n][at].view(np.int64)) for n in PREFIXES]],
-                        names=["record_id", "at", "pos", *[f"g{n}" for n in PREFIXES]],
+                        [part.column(0).take(take), part.column(1).take(take), pa.array((at - starts[which] + offs).astype(np.int32)), pa.array(hashes[at].view(np.int64))],
+                        names=["record_id", "at", "pos", "gram"],
                     )
 
-    grams = ", ".join(f"g{n} bigint" for n in PREFIXES)
-    return df.mapInArrow(run, f"record_id bigint, at timestamp, pos int, {grams}")
+    return df.mapInArrow(run, "record_id bigint, at timestamp, pos int, gram bigint")
 
 
 def _common(a: str, b: str) -> int:
@@ -207,37 +203,37 @@ def repeats(texts: DataFrame, least: int = 160) -> DataFrame:
         raise ValueError(f"least must be {K} at least")
     clean = texts.select("record_id", "at", "text").filter(F.col("record_id").isNotNull())
     found = materialize(_anchor_rows(clean, least), "span-anchors")
-    by_gram = found.groupBy(*[f"g{n}" for n in PREFIXES]).agg(F.count("*").alias("n"), F.min("record_id").alias("a"), F.max("record_id").alias("b"))
-    shared = by_gram.filter("a < b").drop("a", "b")
-    length = F.lit(0)
-    for n in reversed(PREFIXES):
-        shared = shared.withColumn(f"n{n}", F.sum("n").over(Window.partitionBy(f"g{n}")) if n < K else F.col("n"))
-        length = F.when(F.col(f"n{n}") <= GROUP_LIMIT, n).otherwise(length)
-    prefix = F.coalesce(*[F.when(F.col("length") == n, F.col(f"g{n}")) for n in PREFIXES], F.lit(0))
-    groups = shared.withColumn("length", length).select(f"g{K}", "length", prefix.alias("prefix"))
-
-    newest = clean.groupBy("record_id").agg(F.max("at").alias("at"))
+    shared = found.groupBy("gram").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).filter("a < b").select("gram")
+    newest = clean.groupBy("record_id").agg(F.max("at").alias("newest"))
     held = (
-        found.select("record_id", "at", "pos", f"g{K}")
-        .join(groups, f"g{K}")
-        .join(newest.withColumnRenamed("at", "newest"), "record_id")
+        found.join(shared, "gram")
+        .join(newest, "record_id")
         .filter(F.col("at").eqNullSafe(F.col("newest")))
         .groupBy("record_id", "at")
-        .agg(F.collect_set(F.struct("pos", "length", "prefix", f"g{K}")).alias("s"))
+        .agg(F.collect_set("pos").alias("positions"))
     )
     texts_of = clean.select(F.col("record_id").alias("r"), F.col("at").alias("t"), "text")
     side = least - K
-    suffixes = (
+    suffixes = materialize(
         held.join(texts_of, (F.col("record_id") == F.col("r")) & F.col("at").eqNullSafe(F.col("t")))
-        .select("record_id", "text", F.explode("s").alias("s"))
+        .select("record_id", "text", F.explode("positions").alias("pos"))
         .select(
             "record_id",
-            "s.*",
-            F.reverse(F.expr(f"substring(text, greatest(1, s.pos + 1 - {side}), least(s.pos, {side}))")).alias("before"),
-            F.expr(f"substring(text, s.pos + 1, {least})").alias("after"),
-        )
+            "pos",
+            F.reverse(F.expr(f"substring(text, greatest(1, pos + 1 - {side}), least(pos, {side}))")).alias("before"),
+            F.expr(f"substring(text, pos + 1, {least})").alias("after"),
+        ),
+        "span-suffixes",
     )
-    suffixes = materialize(suffixes, "span-suffixes")
+    # the shortest prefix that few enough suffixes have in common
+    by_prefix = suffixes.groupBy(*[F.xxhash64(F.substring("after", 1, n)).alias(f"g{n}") for n in PREFIXES]).agg(F.count("*").alias("n"))
+    length, prefix = F.lit(0), F.lit(0).cast("bigint")
+    for n in reversed(PREFIXES):
+        by_prefix = by_prefix.withColumn(f"n{n}", F.sum("n").over(Window.partitionBy(f"g{n}")) if n < K else F.col("n"))
+        length = F.when(F.col(f"n{n}") <= GROUP_LIMIT, n).otherwise(length)
+        prefix = F.when(F.col(f"n{n}") <= GROUP_LIMIT, F.col(f"g{n}")).otherwise(prefix)
+    groups = by_prefix.select(F.col(f"g{K}").alias("gram"), length.alias("length"), prefix.alias("prefix"))
+    suffixes = suffixes.withColumn("gram", F.xxhash64(F.substring("after", 1, K))).join(groups, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["node", "record_id", "start_pos", "end_pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
