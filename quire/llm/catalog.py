@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, spans, splitting, subjects, tokens
+from quire.llm import packing, quality, spans, splitting, subjects, tokens
 from quire.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.spans(spans.repeats(_span_texts(spark, d)))
 
 
+def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "paragraphs"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_statistics(spark, d).filter(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -63,7 +71,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p4_found, p4_statistics, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
