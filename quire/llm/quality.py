@@ -63,34 +63,50 @@ _MOJIBAKE = regex.compile(r"[ÃâÂ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ
 _FUNCTION, _LEX, _ODD, _NUM, _SYM, _CELL, _ENTRY, _END = range(8)
 
 
+def pair_table() -> np.ndarray:
+    """Index of every character under 0x250 among the letters, 0 for all that is none of them."""
+    table = np.zeros(0x250, dtype=np.int64)
+    for c, i in _INDEX.items():
+        for form in (c, c.upper()):
+            if len(form) == 1 and ord(form) < 0x250:
+                table[ord(form)] = i
+    return table
+
+
+def count_pairs(texts: list[str | None], table: np.ndarray) -> np.ndarray:
+    total = np.zeros(_A * _A, dtype=np.int64)
+    joined = " ".join([t for t in texts if t])
+    for j in range(0, len(joined), 500_000):
+        codes = np.frombuffer(joined[j : j + 500_001].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ids = table[np.minimum(codes, 0x24F)]
+        total += np.bincount(ids[:-1] * _A + ids[1:], minlength=_A * _A)
+    return total
+
+
+def pair_surprise(counts: dict[int, int]) -> np.ndarray:
+    """Surprise in bits of every letter pair, from their counts."""
+    n = np.zeros(_A * _A)
+    for pair, k in counts.items():
+        n[pair] = k
+    n = n.reshape(_A, _A)
+    n[0, 0] = 0
+    return -np.log2((n + 0.02) / (n.sum(axis=1, keepdims=True) + 0.02 * _A))
+
+
 def letter_pairs(texts: DataFrame, text: str = "text") -> np.ndarray:
     """Surprise in bits of every letter pair, word ends included, over all texts; as large as the alphabet squared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_A * _A, dtype=np.int64)
-        table = np.zeros(0x250, dtype=np.int64)
-        for c, i in _INDEX.items():
-            if ord(c) < 0x250:
-                table[ord(c)] = i
-                if len(c.upper()) == 1 and ord(c.upper()) < 0x250:
-                    table[ord(c.upper())] = i
+        total, table = np.zeros(_A * _A, dtype=np.int64), pair_table()
         for batch in batches:
             for k in range(0, batch.num_rows, 2_000):
-                joined = " ".join([t for t in batch.slice(k, 2_000).column(0).to_pylist() if t])
-                for j in range(0, len(joined), 500_000):
-                    codes = np.frombuffer(joined[j : j + 500_001].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                    ids = table[np.minimum(codes, 0x24F)]
-                    total += np.bincount(ids[:-1] * _A + ids[1:], minlength=_A * _A)
+                total += count_pairs(batch.slice(k, 2_000).column(0).to_pylist(), table)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["pair", "n"])
 
-    n = np.zeros(_A * _A)
-    for r in texts.select(text).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        n[r["pair"]] = r["n"]
-    n = n.reshape(_A, _A)
-    n[0, 0] = 0
-    p = (n + 0.02) / (n.sum(axis=1, keepdims=True) + 0.02 * _A)
-    return -np.log2(p)
+    # one row a pair at most, whatever the corpus
+    rows = texts.select(text).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return pair_surprise({r["pair"]: r["n"] for r in rows})
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
@@ -107,6 +123,7 @@ class Profiler:
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.char_class = _char_classes()
         self.memo: dict[str, int] = {}
         self.look: dict[str, tuple[int, float]] = {}
         self.tokens = {k: np.array(v) / sum(v) for k, v in TOKEN_PROFILE.items()}
@@ -226,6 +243,20 @@ class Profiler:
         return min(KINDS, key=lambda k: d[k]), d["prose"]
 
 
+    def char_counts(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        low = codes[codes < 0x250] if codes.max() >= 0x250 else codes
+        chars = np.bincount(self.char_class[low], minlength=6).astype(float)
+        if len(low) < len(codes):
+            for c in text:
+                if ord(c) >= 0x250:
+                    chars[1 if c.isalpha() else 3 if c.isspace() else 4 if c == "…" else 5] += 1
+        return chars
+
+    def kind_of(self, text: str) -> str:
+        return self.kind(self.describe(text)[0], self.char_counts(text))[0]
+
+
 def _char_classes() -> np.ndarray:
     """Class of each character under 0x250: lower, other letter, digit, space, sentence mark, sign."""
     out = np.full(0x250, 5, dtype=np.int64)
@@ -251,7 +282,6 @@ def text_quality(df: DataFrame, key: str = "record_id", text: str = "text", at:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prof = Profiler(bits)
-        classes = _char_classes()
         names = ["key", "at", "n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "divergence", "kind"]
         kinds = [pa.int32(), *[pa.float64()] * 5, pa.string()]
         for batch in batches:
@@ -265,13 +295,7 @@ def text_quality(df: DataFrame, key: str = "record_id", text: str = "text", at:
                         rows.append((0, None, None, None, None, None, None))
                         continue
                     counts, lines, ended = prof.describe(t)
-                    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                    low = codes[codes < 0x250] if codes.max() >= 0x250 else codes
-                    chars = np.bincount(classes[low], minlength=6).astype(float)
-                    if len(low) < len(codes):
-                        high = [c for c in t if ord(c) >= 0x250]
-                        for c in high:
-                            chars[1 if c.isalpha() else 3 if c.isspace() else 4 if c in "…" else 5] += 1
+                    chars = prof.char_counts(t)
                     kind, d = prof.kind(counts, chars)
                     common = sum(w.strip(_STRIP).lower() in ALL_FUNCTION_WORDS for w in words)
                     rows.append((len(words), sum(map(len, words)) / len(words), (chars[4] + chars[5]) / len(t), ended / max(1, lines), common / len(words), d, kind))
