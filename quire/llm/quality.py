@@ -9,7 +9,6 @@ look in the corpus at hand comes from the letter pairs of all its texts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,35 +108,66 @@ def letter_pairs(texts: DataFrame, text: str = "text") -> np.ndarray:
     return pair_surprise({r["pair"]: r["n"] for r in rows})
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon divergence in bits."""
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0.0)
-        b = np.where(q > 0, q * np.log2(q / m), 0.0)
-    return float((a.sum() + b.sum()) / 2)
+def divergences(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row's distribution from each profile."""
+    p = counts / np.maximum(1.0, counts.sum(axis=1, keepdims=True))
 
+    def entropy(x: np.ndarray) -> np.ndarray:
+        return -(x * np.log2(np.where(x > 0, x, 1.0))).sum(axis=-1)
 
-class Profiler:
-    """Classes of tokens and lines, with a bounded memo of tokens."""
+    return entropy((p[:, None, :] + profiles[None]) / 2) - (entropy(p)[:, None] + entropy(profiles)[None]) / 2
+
+
+#: Width of a field of a packed token; a text may have 2**32 of each.
+_FIELD = 32
+_MASK = (1 << _FIELD) - 1
+#: Fields after the eight classes: sentence end, semicolon, function word or joiner, letters of other words, their surprise in 1/16 bits.
+_STOP, _SEMI, _COMMON, _LETTER_N, _BITS = range(8, 13)
+_CLOSERS = "\"'”’»)]*_"
+
+
+class Profiler(dict):
+    """Classes of tokens and lines; as a dict the bounded memo of packed tokens.
+
+    A packed token has a count in the field of its class and of all else that
+    is counted, so that the sum over a line's tokens counts everything at once.
+    """
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits = bits.tolist()
         self.char_class = _char_classes()
-        self.memo: dict[str, int] = {}
-        self.look: dict[str, tuple[int, float]] = {}
-        self.tokens = {k: np.array(v) / sum(v) for k, v in TOKEN_PROFILE.items()}
-        self.chars = {k: np.array(v) / sum(v) for k, v in CHAR_PROFILE.items()}
+        self.tokens = np.array([TOKEN_PROFILE[k] for k in KINDS])
+        self.tokens /= self.tokens.sum(axis=1, keepdims=True)
+        self.chars = np.array([CHAR_PROFILE[k] for k in KINDS])
+        self.chars /= self.chars.sum(axis=1, keepdims=True)
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        c = self._class(token)
+        packed = 1 << (_FIELD * c)
+        if token[-1] in ".!?" or token[-1] in _CLOSERS and _SENTENCE.search(token):
+            packed += 1 << (_FIELD * _STOP)
+        if token[-1] == ";":
+            packed += 1 << (_FIELD * _SEMI)
+        word = "".join(x for x in token.lower() if x.isalpha())
+        if word in ALL_FUNCTION_WORDS:
+            packed += 1 << (_FIELD * _COMMON)
+        elif c == _LEX and len(word) > 1:
+            n = len(word) + 1
+            packed += (n << (_FIELD * _LETTER_N)) + (int(16 * n * self.surprise(word)) << (_FIELD * _BITS))
+        self[token] = packed
+        return packed
 
     def surprise(self, word: str) -> float:
         ids = [0, *[_INDEX.get(c, _A - 1) for c in word if c not in "-'’‐"], 0]
-        return sum(self.bits[a, b] for a, b in zip(ids, ids[1:])) / (len(ids) - 1)
+        return sum(self.bits[a][b] for a, b in zip(ids, ids[1:])) / (len(ids) - 1)
 
     def _class(self, token: str) -> int:
         bare = token.strip(_STRIP)
         low = bare.lower()
         if not bare:
-            return _SYM if token.strip(".,;:!?…\"'“”‘’()-–—") else _SYM if len(token) == 1 else _LEX
+            return _LEX if len(token) > 1 and not token.strip(".,;:!?…\"'“”‘’()-–—") else _SYM
         if len(bare) == 1 and bare.isalpha() and bare not in "aAIàyoeé":
             return _ODD
         if low in ALL_FUNCTION_WORDS:
@@ -156,110 +186,91 @@ class Profiler:
         letters = sum(c.isalpha() for c in bare)
         return _LEX if len(bare) < 25 and letters >= 0.7 * len(bare) and self.surprise(low) <= 1.5 * ODD_WORD else _ODD
 
-    def classes(self, tokens: list[str]) -> list[int]:
-        memo = self.memo
-        out = []
-        for t in tokens:
-            c = memo.get(t)
-            if c is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                    self.look.clear()
-                    return self.classes(tokens)
-                c = memo[t] = self._class(t)
-                word = "".join(x for x in t.lower() if x.isalpha())
-                n = len(word) + 1
-                self.look[t] = (n, n * self.surprise(word)) if n > 2 and word not in ALL_FUNCTION_WORDS else (0, 0.0)
-            out.append(c)
-        return out
-
-    def describe(self, text: str) -> tuple[np.ndarray, int, int]:
-        """(counts by token class, lines, lines that end in punctuation)."""
-        counts = [0] * 8
-        lines = ended = letters = 0
-        bits = 0.0
+    def describe(self, text: str) -> tuple[list[int], int, int, int]:
+        """(counts by token class, lines, lines that end in punctuation, common words)."""
+        total = lines = ended = entries = cell_marks = tables = ends = 0
+        tags = 0
         body = text
         if "<" in text:
             body, tags = _TAG.subn(" ", text)
-            counts[_ODD] += tags
-        for raw in body.splitlines() if "\n" in body or "\r" in body else (body,):
-            line = raw.strip()
+        for line in body.splitlines():
+            line = line.strip()
             if not line:
                 continue
             lines += 1
             if line == EMPTY_TABLE:
-                counts[_CELL] += 3
+                tables += 3
                 continue
-            end = bool(_SENTENCE.search(line))
+            last, first = line[-1], line[0]
+            end = last in ".!?…" or last in _CLOSERS and _SENTENCE.search(line) is not None
             ended += end
-            if "  " in line and _SPACED.match(line):
+            double = "  " in line
+            if double and _SPACED.match(line):
                 line = " ".join(w.replace(" ", "") for w in regex.split(r" {2,}", line))
-            mark = _MARK.match(line)
+                double = False
+            mark = _MARK.match(line) if not first.isalpha() or line[1:2] in ".)" or line[:6].rstrip(".)") != line[:6] else None
             if mark:
                 line = line[mark.end() :]
-            refs = _LEADER.search(line) or (None if end else _INDEX_REFS.search(line))
-            if refs and refs.start():
-                line = line[: refs.start()]
-            cells = sum(1 for _ in _GAP.finditer(line)) if ("|" in line or "\t" in line or ";" in line or "  " in line) else 0
-            if cells and not any(c.isalnum() for c in line) and not _TABLE_RULE.match(line):
-                cells = 0
-            if cells:
-                line = line.replace("|", " ")
-                if ";" in line:
-                    line = line.replace(";", " ")
+            refs = None
+            if not end and (last.isdigit() or last in "ivxl"):
+                refs = _LEADER.search(line) or _INDEX_REFS.search(line)
+                if refs and refs.start():
+                    line = line[: refs.start()]
+            cells = 0
+            if double or "|" in line or "\t" in line or ";" in line:
+                cells = sum(1 for _ in _GAP.finditer(line))
+                if cells and not any(c.isalnum() for c in line) and not _TABLE_RULE.match(line):
+                    cells = 0
+                if cells:
+                    line = line.replace("|", " ").replace(";", " ")
             tokens = line.split()
-            kinds = self.classes(tokens)
-            for c, t in zip(kinds, tokens):
-                counts[c] += 1
-                if c == _LEX:
-                    n, b = self.look[t]
-                    letters += n
-                    bits += b
-            function = kinds.count(_FUNCTION)
-            counts[_CELL] += cells
-            stops = sum(1 for t in tokens if t[-1] in ".!?" or t[-1] in "”’»)\"'" and _SENTENCE.search(t))
-            counts[_END] += stops if function else min(stops, 1)
-            semis = 0 if cells else sum(t.endswith(";") for t in tokens)
+            packed = sum(map(self.__getitem__, tokens))
+            total += packed
+            function = packed & _MASK
+            cell_marks += cells
+            stops = packed >> (_FIELD * _STOP) & _MASK
+            ends += stops if function else min(stops, 1)
             if refs or mark and function <= max(2, 0.3 * len(tokens)):
-                counts[_ENTRY] += 2 if refs else 1
-            elif not cells and not end and function <= 1 and len(tokens) <= 8 and counts[_ODD] + counts[_SYM] == 0:
-                counts[_ENTRY] += 1
-            if semis and function <= 0.15 * len(tokens):
-                counts[_ENTRY] += semis
+                entries += 2 if refs else 1
+            elif not cells and not end and function <= 1 and len(tokens) <= 8 and not (packed >> (_FIELD * _ODD) & _MASK or packed >> (_FIELD * _SYM) & _MASK):
+                entries += 1
+            if not cells and function <= 0.15 * len(tokens):
+                entries += packed >> (_FIELD * _SEMI) & _MASK
+        counts = [total >> (_FIELD * c) & _MASK for c in range(8)]
+        counts[_ODD] += tags
+        counts[_CELL] = cell_marks + tables
+        counts[_END] = ends
+        letters, bits = total >> (_FIELD * _LETTER_N) & _MASK, (total >> (_FIELD * _BITS)) / 16
         if letters >= 8 and bits > ODD_TEXT * letters:
-            counts[_ODD] += counts[_LEX] + counts[_ENTRY]
-            counts[_LEX] = counts[_ENTRY] = 0
-        return np.array(counts, dtype=float), lines, ended
-
-    def kind(self, counts: np.ndarray, chars: np.ndarray) -> tuple[str, float]:
-        """The nearest profile, and the divergence from prose. A list or table has two entries or cells at least."""
-        p = counts / max(1.0, counts.sum())
-        q = chars / max(1.0, chars.sum())
-        d = {k: divergence(p, self.tokens[k]) + CHAR_WEIGHT * divergence(q, self.chars[k]) for k in KINDS}
-        if counts[_ENTRY] < 2:
-            d["list"] = math.inf
-        if counts[_CELL] < 2:
-            d["table"] = math.inf
-        return min(KINDS, key=lambda k: d[k]), d["prose"]
-
+            counts[_ODD] += counts[_LEX] + entries
+            counts[_LEX] = entries = 0
+        counts[_ENTRY] = entries
+        return counts, lines, ended, total >> (_FIELD * _COMMON) & _MASK
+
+    def kinds(self, counts: np.ndarray, chars: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """For each text, a row of both counts: the nearest profile, and the divergence from prose. A list has two entries, a table two cells at least."""
+        d = divergences(counts, self.tokens) + CHAR_WEIGHT * divergences(chars, self.chars)
+        d[counts[:, _ENTRY] < 2, 1] = np.inf
+        d[counts[:, _CELL] < 2, 2] = np.inf
+        return [KINDS[i] for i in d.argmin(axis=1)], d[:, 0]
 
     def char_counts(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        low = codes[codes < 0x250] if codes.max() >= 0x250 else codes
-        chars = np.bincount(self.char_class[low], minlength=6).astype(float)
-        if len(low) < len(codes):
-            for c in text:
-                if ord(c) >= 0x250:
-                    chars[1 if c.isalpha() else 3 if c.isspace() else 4 if c == "…" else 5] += 1
-        return chars
+        chars = np.bincount(self.char_class[np.minimum(codes, 0x250)], minlength=7)
+        if chars[6]:
+            for x in codes[codes >= 0x250].tolist():
+                c = chr(x)
+                chars[1 if c.isalpha() else 3 if c.isspace() else 4 if c == "…" else 5] += 1
+        return chars[:6]
 
     def kind_of(self, text: str) -> str:
-        return self.kind(self.describe(text)[0], self.char_counts(text))[0]
+        return self.kinds(np.array([self.describe(text)[0]], dtype=float), np.array([self.char_counts(text)], dtype=float))[0][0]
 
 
 def _char_classes() -> np.ndarray:
-    """Class of each character under 0x250: lower, other letter, digit, space, sentence mark, sign."""
-    out = np.full(0x250, 5, dtype=np.int64)
+    """Class of each character under 0x250: lower, other letter, digit, space, sentence mark, sign; 6 for all others."""
+    out = np.full(0x251, 5, dtype=np.int64)
+    out[0x250] = 6
     for c in range(0x250):
         ch = chr(c)
         out[c] = 0 if ch.islower() else 1 if ch.isalpha() else 2 if ch.isdigit() else 3 if ch.isspace() else 4 if ch in ".,!?" else 5
@@ -288,17 +299,16 @@ def text_quality(df: DataFrame, key: str = "record_id", text: str = "text", at:
             for k in range(0, batch.num_rows, 1_000):
                 part = batch.slice(k, 1_000)
                 texts = part.column(2).to_pylist()
-                rows = []
-                for t in texts:
-                    words = t.split() if t else ()
-                    if not words:
-                        rows.append((0, None, None, None, None, None, None))
-                        continue
-                    counts, lines, ended = prof.describe(t)
-                    chars = prof.char_counts(t)
-                    kind, d = prof.kind(counts, chars)
-                    common = sum(w.strip(_STRIP).lower() in ALL_FUNCTION_WORDS for w in words)
-                    rows.append((len(words), sum(map(len, words)) / len(words), (chars[4] + chars[5]) / len(t), ended / max(1, lines), common / len(words), d, kind))
+                full = [i for i, t in enumerate(texts) if t and not t.isspace()]
+                rows: list[tuple] = [(0, None, None, None, None, None, None)] * len(texts)
+                if full:
+                    described = [prof.describe(texts[i]) for i in full]
+                    chars = np.array([prof.char_counts(texts[i]) for i in full])
+                    nearest, from_prose = prof.kinds(np.array([d[0] for d in described], dtype=float), chars.astype(float))
+                    for i, (_, lines, ended, common), c, kind, d in zip(full, described, chars.tolist(), nearest, from_prose.tolist()):
+                        words = texts[i].split()
+                        n = len(words)
+                        rows[i] = (n, sum(map(len, words)) / n, (c[4] + c[5]) / len(texts[i]), ended / max(1, lines), common / n, d, kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
 
     out = "n_words int, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, divergence double, kind string"
