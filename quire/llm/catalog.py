@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, quality, spans, splitting, subjects, tokens
+from quire.llm import packing, quality, scans, spans, splitting, subjects, tokens
 from quire.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_statistics(spark, d).filter(F.col("kind").isin("list", "table", "junk")).select("record_id", "kind")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.damaged(table(spark, d, "paragraphs"), table(spark, d, "books"), table(spark, d, "sections"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "paragraphs"), table(spark, d, "books"), table(spark, d, "sections"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -71,7 +79,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p4_found, p4_statistics, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p4_found, p4_statistics, p5_found, p5_repaired, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
