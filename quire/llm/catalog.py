@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, quality, scans, spans, splitting, subjects, tokens
+from quire.llm import packing, quality, scans, spans, splitting, subjects, tokens, truncation
 from quire.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(p1_pieces(spark, d))
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_records(table(spark, d, "distilled"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_records(spark, d).filter("cut").select("record_id")
+
+
+def p2_providers(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(p2_records(spark, d))
+
+
 def _span_texts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "paragraphs").select("record_id", F.col("ingested_at").alias("at"), "text")
     return p.unionByName(table(spark, d, "distilled").select("record_id", F.col("written_at").alias("at"), F.col("body_md").alias("text")))
@@ -79,7 +91,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_shared, p3_spans, p4_found, p4_statistics, p5_found, p5_repaired, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_providers, p3_found, p3_shared, p3_spans, p4_found, p4_statistics, p5_found, p5_repaired, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
