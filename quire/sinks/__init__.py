@@ -1,0 +1 @@
+"""Writing results: text and JSON files, EPUB, stage markers."""

@@ -1,0 +1 @@
+"""Streams of documents and of events; an addition to the batch engine."""
