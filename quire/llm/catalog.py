@@ -94,5 +94,15 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_providers, p3_found, p3_shared, p3_spans, p4_found, p4_statistics, p5_found, p5_repaired, p6_ids, p7_packed, p7_fill, p8_found, p8_composition)}
 
 
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+_HELD = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {at} DESC NULLS LAST) AS rn FROM {table}) WHERE rn = 1"
+
+#: Plain SQL for what the operators of problems 1 and 3 find, by exhaustive counting.
+_SQL = {
+    "p1_found": f"WITH p AS ({_HELD.format(at='ingested_at', table='paragraphs')}), w AS (SELECT book_slug, section_pos, sum(len(list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda x: x <> ''))) AS words FROM p GROUP BY ALL), s AS (SELECT book_slug, section_pos, min(level) AS level FROM sections GROUP BY ALL) SELECT book_slug, section_pos FROM w JOIN s USING (book_slug, section_pos) JOIN split_limits USING (level) WHERE words > max_words",
+    "p3_found": f"WITH t AS (SELECT record_id, text FROM ({_HELD.format(at='ingested_at', table='paragraphs')}) UNION ALL SELECT record_id, body_md FROM ({_HELD.format(at='written_at', table='distilled')})), w AS (SELECT DISTINCT record_id, hash(substr(text, k, 160)) AS h FROM (SELECT record_id, text, unnest(range(1, length(text) - 158)) AS k FROM t WHERE length(text) >= 160)), m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT record_id, h FROM w SEMI JOIN m USING (h)) SELECT DISTINCT a.record_id AS record_a, b.record_id AS record_b FROM x a JOIN x b ON a.h = b.h AND a.record_id < b.record_id",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
