@@ -14,7 +14,8 @@ def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     """Version 5 UUID of a string; null for null."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    dash = F.lit("-")
+    return F.concat(F.substring(h, 1, 8), dash, F.substring(h, 9, 4), dash, F.lit("5"), F.substring(h, 14, 3), dash, variant, F.substring(h, 18, 3), dash, F.substring(h, 21, 12))
 
 
 def content_id(*parts: Column) -> Column:
