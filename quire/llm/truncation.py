@@ -21,7 +21,7 @@ from quire.session import materialize
 from quire.tables import latest
 
 #: Longest context in characters, and buckets of each order; together the fixed size of the model. Sentences need fewer characters than entries to tell an end.
-ORDER, SENTENCE_ORDER, BUCKETS = 6, 3, 1 << 18
+ORDER, SENTENCE_ORDER, BUCKETS = 6, 4, 1 << 18
 #: Weight of the shorter context in a longer one's estimate.
 BACKOFF = 2.0
 #: Log-odds (natural) that part ends from stops where a language has too few blocks to calibrate.
@@ -44,6 +44,9 @@ _OPEN_CITATION = regex.compile(r"\s*\[[^\[\]\n]{0,60}$")
 _CLOSED_CITATION = regex.compile(r"\s*\[p:[a-f0-9-]+\]\s*$")
 #: The end of a sentence that another one follows.
 _SENTENCE_END = regex.compile(r"[.!?…][\"'”’»)\]*_]*(?=\s+[\p{Lu}\p{Nd}“\"‘'(\[«„*_¿¡])")
+#: Abbreviations whose full stop ends no sentence (fixed values).
+_ABBREVIATED = regex.compile(r"(?<![\p{L}.])(?:cf|approx|fig|figs|i\.e|e\.g|no|nos|vs|dr|mr|mrs|ms|prof|st|vol|vols|pp|p|ch|sec|eq|ca|resp|incl|esp|viz|ed|eds|trans|bzw|z\.B|d\.h|vgl|usw|p\.ex|págs?|núm|bspw)\.$", regex.I)
+_FINAL = regex.compile(r"[.!?…][\"'”’»)\]*_]*$")
 _SENTENCES = ("prose", "quote", "note")
 _ENTRIES = ("bullet", "number", "source")
 _NUMBERED = regex.compile(r"\(?\p{Nd}{1,3}[.)]\s")
@@ -101,7 +104,8 @@ def blocks(text: str) -> tuple[list[tuple[str, str]], bool]:
 def ending(text: str) -> tuple[list[tuple[str, str]], bool, bool]:
     """(blocks, the last one without marks of a cut; whether there was such a mark; whether something was left open).
 
-    Left open are a code fence, a citation, and an emphasis that nothing follows.
+    Left open are a code fence, a citation, an emphasis that nothing follows,
+    and a character cut in its bytes.
     """
     body = text.rstrip()
     opened = False
@@ -115,6 +119,7 @@ def ending(text: str) -> tuple[list[tuple[str, str]], bool, bool]:
     if body.endswith("**") and body.count("**") % 2:
         body, opened = body[:-2].rstrip(), True
     marked = body != bare
+    opened = opened or "\ufffd" in bare[-2:]
     found, fence = blocks(body)
     return found, marked, opened or fence
 
@@ -125,7 +130,7 @@ def _context(kind: str, block: str) -> str:
 
 
 def _hashes(codes: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
-    """For each order the bucket of the characters up to and with each position, read backward."""
+    """For each order two buckets, by different hashes, of the characters up to and with each position, read backward."""
     out = []
     with np.errstate(over="ignore"):
         mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -135,7 +140,9 @@ def _hashes(codes: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
             h = h * np.uint64(0xBF58476D1CE4E5B9)
             h[n:] += mixed[: len(mixed) - n]
             h ^= h >> np.uint64(31)
-            out.append((h * np.uint64(0x94D049BB133111EB) >> np.uint64(46)).astype(np.int64))
+            one = (h * np.uint64(0x94D049BB133111EB) >> np.uint64(46)).astype(np.int64)
+            two = (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(46)).astype(np.int64)
+            out.append(np.stack([one, two + BUCKETS]))
     return out
 
 
@@ -159,7 +166,13 @@ def _laid_out(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.
     for (kind, _), t, stop in zip(found, texts, stops.tolist()):
         if kind in _SENTENCES:
             for m in _SENTENCE_END.finditer(t):
-                end[stop - len(t) + m.end() - 1] = True
+                if _ABBREVIATED.search(t, max(0, m.start() - 8), m.end()):
+                    continue
+                # the quotation marks and brackets after it are part of the end
+                end[stop - len(t) + m.start() : stop - len(t) + m.end()] = True
+            m = _FINAL.search(t)
+            if m:
+                end[stop - len(m[0]) : stop] = True
     return codes, kinds, inside, end
 
 
@@ -179,13 +192,15 @@ class Model:
     def __init__(self, ends: np.ndarray, totals: np.ndarray):
         self.ends, self.totals = ends, totals
 
-    def log_odds(self, buckets: list[np.ndarray], kinds: np.ndarray, own_end: np.ndarray) -> np.ndarray:
-        """Odds that a block ends at each position rather than goes on, each position's own count left out."""
-        e0, t0 = self.ends[0].sum(), self.totals[0].sum()
+    def log_odds(self, buckets: list[np.ndarray], kinds: np.ndarray, own_end: np.ndarray, counted: bool = True) -> np.ndarray:
+        """Odds that a block ends at each position rather than goes on; where the positions were ``counted``, without each one's own count."""
+        own = 1.0 if counted else 0.0
+        e0, t0 = self.ends[0, :BUCKETS].sum(), self.totals[0, :BUCKETS].sum()
         p = np.full(len(own_end), (e0 + 0.5) / (t0 + 1.0))
         for n, b in enumerate(buckets):
-            e = np.maximum(0.0, self.ends[n][b] - own_end)
-            t = np.maximum(e, self.totals[n][b] - 1.0)
+            # a bucket may hold other contexts too; of the two the smaller counts are nearer
+            e = np.maximum(0.0, self.ends[n][b].min(axis=0) - own * own_end)
+            t = np.maximum(e, self.totals[n][b].min(axis=0) - own)
             longer = (e + BACKOFF * p) / (t + BACKOFF)
             p = longer if n < SENTENCE_ORDER else np.where(np.isin(kinds, _BY_SENTENCE), p, longer)
         p = np.clip(p, 1e-7, 1 - 1e-7)
@@ -193,7 +208,7 @@ class Model:
 
     def seen(self, buckets: list[np.ndarray]) -> float:
         """How often the last position's second longest context stands in the texts."""
-        return float(self.totals[ORDER - 2][buckets[ORDER - 2][-1]])
+        return float(self.totals[ORDER - 2][buckets[ORDER - 2][:, -1]].min())
 
     def word_odds(self, codes: np.ndarray) -> float | None:
         """Odds that the last character ends a word; None where it is no letter."""
@@ -209,28 +224,43 @@ def train(texts: DataFrame, text: str) -> Model:
     """Counts of block ends and of all positions by context, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = np.zeros((ORDER, BUCKETS), dtype=np.int64)
-        totals = np.zeros((ORDER, BUCKETS), dtype=np.int64)
+        ends = np.zeros((ORDER, 2 * BUCKETS), dtype=np.int64)
+        totals = np.zeros((ORDER, 2 * BUCKETS), dtype=np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                found = [b for t in batch.slice(k, 200).column(0).to_pylist() if t and t.strip() for b in ending(t)[0]]
+                found: list[tuple[str, str]] = []
+                final: list[int] = []
+                for t in batch.slice(k, 200).column(0).to_pylist():
+                    if t and t.strip():
+                        found += ending(t)[0]
+                        final.append(len(found) - 1)
                 if not found:
                     continue
                 codes, kinds, inside, end = _laid_out(found)
+                # whether the last sentence of a text ends is the question, not evidence
+                stops = np.cumsum([ORDER + len(_context(*b)) for b in found]) - 1
+                asked = np.array([stops[i] for i in final if i >= 0 and found[i][0] in _SENTENCES], dtype=np.int64)
+                for i in asked.tolist():
+                    k = i
+                    while end[k]:
+                        end[k] = inside[k] = False
+                        k -= 1
                 letter, last = _words(codes, inside)
                 for what, at, stop in ((kinds, inside, end), (np.full_like(kinds, _TYPE["word"]), letter, last)):
+                    entry = ~np.isin(what, _BY_SENTENCE)
                     for n, b in enumerate(_hashes(codes, what)):
-                        totals[n] += np.bincount(b[at], minlength=BUCKETS)
-                        ends[n] += np.bincount(b[stop], minlength=BUCKETS)
+                        longer = at & entry if n >= SENTENCE_ORDER else at
+                        totals[n] += np.bincount(b[:, longer].ravel(), minlength=2 * BUCKETS)
+                        ends[n] += np.bincount(b[:, stop & longer].ravel(), minlength=2 * BUCKETS)
         hit = totals.reshape(-1).nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(ends.reshape(-1)[hit]), pa.array(totals.reshape(-1)[hit])], names=["slot", "ends", "n"])
 
     summed = texts.select(text).mapInArrow(run, "slot int, ends bigint, n bigint").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
     got = summed.toPandas()  # as many rows as the model has slots at most
-    ends, totals = np.zeros(ORDER * BUCKETS, dtype=np.float32), np.zeros(ORDER * BUCKETS, dtype=np.float32)
+    ends, totals = np.zeros(2 * ORDER * BUCKETS, dtype=np.float32), np.zeros(2 * ORDER * BUCKETS, dtype=np.float32)
     ends[got["slot"]] = got["ends"]
     totals[got["slot"]] = got["n"]
-    return Model(ends.reshape(ORDER, BUCKETS), totals.reshape(ORDER, BUCKETS))
+    return Model(ends.reshape(ORDER, 2 * BUCKETS), totals.reshape(ORDER, 2 * BUCKETS))
 
 
 def _language(text: str) -> str:
@@ -319,18 +349,19 @@ def cut_records(df: DataFrame, key: str = "record_id", text: str = "body_md", at
                     rows.append((_language(t), None, marked, opened, opened))
                     continue
                 codes, block_kinds, _, end = _laid_out(found[-1:])
+                kind, block = found[-1]
                 buckets = _hashes(codes, block_kinds)
-                odds = float(model.log_odds(buckets, block_kinds, end.astype(np.float32))[-1])
+                odds = float(model.log_odds(buckets, block_kinds, end.astype(np.float32), kind not in _SENTENCES)[-1])
                 lang = _language(t)
                 closed, word = limits[lang]
-                kind, block = found[-1]
                 if (kind == "row" and block.endswith("|")) or (kind == "note" and len(block) > 2 and block[0] == block[-1]):
                     goes_on = False  # closed by its own mark
                 elif kind in _ENTRIES:
                     half = model.word_odds(codes)
                     goes_on = (half is not None and half < word) or (kind != "source" and odds < ENTRY_ODDS and model.seen(buckets) >= ENTRY_SEEN)
                 else:
-                    goes_on = odds < closed
+                    # nothing follows, so neither a comma, a colon nor an abbreviation can be the end
+                    goes_on = odds < closed or (kind == "prose" and (block[-1] in ",;:(" or _ABBREVIATED.search(block) is not None))
                 rows.append((lang, odds, marked, opened, opened or goes_on))
             types = [pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
