@@ -32,8 +32,8 @@ def key_terms(paragraphs: DataFrame, top: int = 5) -> DataFrame:
     tok = paragraphs.select("book_slug", "section_pos", F.explode(F.split(match_form(F.col("text")), " ")).alias("term")).filter((F.length("term") >= TERM_LETTERS) & ~F.col("term").rlike(r"^\d"))
     tf = tok.groupBy("book_slug", "section_pos", "term").agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = paragraphs.select("book_slug", "section_pos").distinct().agg(F.count("*").alias("chapters"))
-    weighed = tf.join(df, "term").join(F.broadcast(n), F.lit(True)).withColumn("weight", F.round(F.col("n") * F.log((F.col("chapters") + 1.0) / F.col("df")), 6))
+    chapters = paragraphs.select("book_slug", "section_pos").distinct().count()
+    weighed = tf.join(df, "term").withColumn("weight", F.round(F.col("n") * F.log(F.lit(chapters + 1.0) / F.col("df")), 6))
     w = Window.partitionBy("book_slug", "section_pos").orderBy(F.desc("weight"), "term")
     return weighed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("book_slug", "section_pos", "rank", "term", "n")
 
