@@ -225,11 +225,14 @@ def repeats(texts: DataFrame, least: int = 160) -> DataFrame:
         ),
         "span-suffixes",
     )
-    # the shortest prefix that few enough suffixes have in common
-    by_prefix = suffixes.groupBy(*[F.xxhash64(F.substring("after", 1, n)).alias(f"g{n}") for n in PREFIXES]).agg(F.count("*").alias("n"))
+    # the shortest prefix that few enough suffixes have in common; larger groups are in no count table, whatever their size
+    counted = suffixes.groupBy(*[F.xxhash64(F.substring("after", 1, n)).alias(f"g{n}") for n in PREFIXES]).agg(F.count("*").alias(f"n{K}"))
+    by_prefix = counted
+    for n in PREFIXES[:-1]:
+        few = counted.groupBy(f"g{n}").agg(F.sum(f"n{K}").alias(f"n{n}")).filter(F.col(f"n{n}") <= GROUP_LIMIT)
+        by_prefix = by_prefix.join(few, f"g{n}", "left")
     length, prefix = F.lit(0), F.lit(0).cast("bigint")
     for n in reversed(PREFIXES):
-        by_prefix = by_prefix.withColumn(f"n{n}", F.sum("n").over(Window.partitionBy(f"g{n}")) if n < K else F.col("n"))
         length = F.when(F.col(f"n{n}") <= GROUP_LIMIT, n).otherwise(length)
         prefix = F.when(F.col(f"n{n}") <= GROUP_LIMIT, F.col(f"g{n}")).otherwise(prefix)
     groups = by_prefix.select(F.col(f"g{K}").alias("gram"), length.alias("length"), prefix.alias("prefix"))
