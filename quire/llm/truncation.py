@@ -255,8 +255,8 @@ def train(texts: DataFrame, text: str) -> Model:
         hit = totals.reshape(-1).nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(ends.reshape(-1)[hit]), pa.array(totals.reshape(-1)[hit])], names=["slot", "ends", "n"])
 
-    summed = texts.select(text).mapInArrow(run, "slot int, ends bigint, n bigint").groupBy("slot").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
-    got = summed.toPandas()  # as many rows as the model has slots at most
+    summed = texts.select(text).mapInArrow(run, "slot int, ends bigint, n bigint").groupBy("slot").agg(F.sum("ends").cast("float").alias("ends"), F.sum("n").cast("float").alias("n"))
+    got = {c: x.to_numpy() for c, x in zip(summed.columns, summed.toArrow().columns)}  # as many rows as the model has slots at most
     ends, totals = np.zeros(2 * ORDER * BUCKETS, dtype=np.float32), np.zeros(2 * ORDER * BUCKETS, dtype=np.float32)
     ends[got["slot"]] = got["ends"]
     totals[got["slot"]] = got["n"]
