@@ -2,16 +2,18 @@
 
 One pass over all texts counts words; frequent ones are the vocabulary, whose
 size is bounded by the least share a word must have. Every text is then
-decoded against it as a stream of characters without lines: words may be
-divided by hyphens or line ends and may hold confused characters. Lines that
-may be running heads are compared with the titles of the book and the section
-by a join, so that texts need not move.
+decoded against it as a stream of words without lines: the cheapest of all
+ways to read it, where words may be divided by hyphens, line ends or spaces,
+may run together and may hold confused characters. Lines that may be running
+heads are compared with the titles of the book and the section by a join, so
+that texts need not move.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,13 @@ CAPITAL_CONFUSIONS = [("f", "e"), ("l", "i"), ("1", "i"), ("|", "i"), ("0", "o")
 #: Letters that stand for digits (fixed values).
 DIGITS = str.maketrans("lIiOoSsbBgqZz", "1110055689922"[:13])
 HYPHENS = "-\xad¬‐"
+#: Costs (natural logarithms) of reading a text: a word the vocabulary lacks and each of its characters, so that it is dearer than any that is there; confused characters; a number.
+UNKNOWN, UNKNOWN_CHAR, CONFUSED, NUMBER = 10.0, 1.4, 1.0, 6.0
+#: A hyphen left at a word's end, one taken out, a line end or a space within a word, a space lost between two words.
+DANGLING, HYPHENATED, LINE_END, SPACE, LOST_SPACE = 12.0, 1.0, 11.0, 13.0, 11.0
 
 _CORE = "\"'“”‘’„«»()[]{}<>.,;:?…*_#—–/\\"
 _HYPHEN_END = regex.compile(r"(\p{L}[^\s]*?)([-\xad¬‐])\s*$")
-_BROKEN_INLINE = regex.compile(r"(?<!\S)(\S*\p{L})([-\xad¬‐])[ \t]+(\p{Ll}\S*)")
 _PAGE = regex.compile(r"^[^\w]*(?:(?:page|seite|página|pag|pág|p|s)\b\.?\s*)?([\dlIOoSb]{1,4}|[ivxlc]{1,7})(?:\s*(?:of|von|de|sur|/)\s*\d{1,5})?[^\w.,;:!?]*$", regex.I)
 _PREFIX = regex.compile(r"^[^\w]*(?:page|seite|página|pág|p)\b\.?\s", regex.I)
 _ROMAN = regex.compile(r"^(?:x{0,3})(?:ix|iv|v?i{0,3})$")
@@ -120,6 +125,7 @@ class Decoder:
         """``cleaned``: the words come from a decoder that has left out the misread ones."""
         self.words = words if cleaned else dict(words)
         self.memo: dict[str, str | None] = {}
+        self.apart: dict[str, tuple[float, str, bool] | None] = {}
         for w in () if cleaned else sorted(words, key=lambda w: (-words[w], w)):
             if len(w) < 3 or w.isdigit():
                 continue
@@ -127,6 +133,14 @@ class Decoder:
                 if words.get(c, 0) >= MISREAD_RATIO * words[w]:
                     self.words.pop(w, None)
                     break
+        self.total = log(sum(self.words.values()) or 1)
+        #: The least cost of a word of so many characters or more.
+        self.least = [float("inf")] * 42
+        for w, n in self.words.items():
+            k = min(len(w), 41)
+            self.least[k] = min(self.least[k], self.total - log(n))
+        for k in range(40, -1, -1):
+            self.least[k] = min(self.least[k], self.least[k + 1])
 
     def known(self, word: str) -> bool:
         low = word.lower()
@@ -136,10 +150,15 @@ class Decoder:
     def _variants(low: str, caps: bool) -> Iterator[str]:
         """Strings a few confusions away: any places of one, then up to three of different ones."""
         rules = CAPITAL_CONFUSIONS if caps else CONFUSIONS
+        rules = [r for r in rules if r[0] in low]
+        steps = []
         for seen, meant in rules:
-            places = [i for i in range(len(low)) if low.startswith(seen, i)][:8]
-            if not places:
-                continue
+            places, i = [], low.find(seen)
+            while i >= 0:
+                places.append(i)
+                i = low.find(seen, i + 1)
+            steps += [(i, seen, meant) for i in places]
+            places = places[:8]
             for mask in range(1, 1 << len(places)):
                 out, last = [], 0
                 for b, i in enumerate(places):
@@ -147,7 +166,6 @@ class Decoder:
                         out += [low[last:i], meant]
                         last = i + len(seen)
                 yield "".join(out) + low[last:]
-        steps = [(i, seen, meant) for seen, meant in rules for i in range(len(low)) if low.startswith(seen, i)]
         steps.sort()
         if len(steps) < 2 or len(steps) > 24:
             return
@@ -217,6 +235,170 @@ class Decoder:
         return None
 
 
+    def cost(self, word: str) -> float:
+        """What a word costs as it stands."""
+        low = word.lower()
+        n = self.words.get(low)
+        if n:
+            return self.total - log(n)
+        if not any(c.isalpha() for c in low):
+            return NUMBER
+        if self.known(low):
+            return max(self.cost(p) for p in low.split("-") if p) + CONFUSED
+        return UNKNOWN + UNKNOWN_CHAR * len(low)
+
+    def split(self, word: str) -> tuple[float, str, bool] | None:
+        """(cost, words, misread) of a string as words that have lost the space between them, None where it is better left.
+
+        Of two neighbours one is a function word, as others make compounds;
+        one of all may hold confused characters.
+        """
+        if word in self.apart:
+            return self.apart[word]
+        if len(self.apart) > 200_000:
+            self.apart.clear()
+        out = None
+        if len(word) > 4 and word[0].isalpha() and all(c.isalnum() or c in "@|$!" for c in word) and not self.known(word):
+            # the cheapest reading of each beginning, by whether its last word is a function word and one was misread
+            best: dict[tuple[int, bool, bool], tuple[float, str]] = {(0, True, False): (-LOST_SPACE, "")}
+            for j in range(1, len(word) + 1):
+                for i in range(j):
+                    before = [(last, wrong, *best[i, last, wrong]) for last in (True, False) for wrong in (True, False) if (i, last, wrong) in best]
+                    if not before:
+                        continue
+                    piece = word[i:j]
+                    low = piece.lower()
+                    function = low in ALL_FUNCTION_WORDS
+                    if low in self.words and (len(low) > 2 or function):
+                        read, cost, confused = piece, self.cost(low), False
+                    elif len(low) > 3 and (i == 0 or j == len(word)) and (read := self.repair(piece)):
+                        cost, confused = self.cost(read) + CONFUSED, True
+                        function = read.lower() in ALL_FUNCTION_WORDS
+                    else:
+                        continue
+                    for last, wrong, c, text in before:
+                        if (last or function) and not (wrong and confused):
+                            key, new = (j, function, wrong or confused), (c + LOST_SPACE + cost, f"{text} {read}".lstrip())
+                            if key not in best or new < best[key]:
+                                best[key] = new
+            ends = [(*best[k], k[2]) for k in best if k[0] == len(word) and " " in best[k][1]]
+            if ends and min(ends)[0] < self.cost(word):
+                out = min(ends)
+        self.apart[word] = out
+        return out
+
+    def readings(self, tokens: list[str], ends: list[bool], i: int, stop: int, half: int, marks: bool) -> Iterator[tuple[int, float, str, tuple[str, ...]]]:
+        """(next token, cost, text, kinds of damage) of each way to read the tokens from ``i`` on as one or as run together.
+
+        ``half`` is the place of a token that may be half a word. With
+        ``marks`` the second part of a divided word may follow marks.
+        """
+        t = tokens[i]
+        pre, w, post = core(t)
+        if not w:
+            yield i + 1, 0.0, t, ()
+            return
+        dangling = w[-1] in HYPHENS
+        yield i + 1, self.cost(w) + DANGLING * dangling, t, ()
+        if i != half and not dangling:
+            fixed = self.repair(w)
+            if fixed:
+                yield i + 1, self.cost(fixed) + CONFUSED, pre + fixed + post, ("misread",)
+            else:
+                parts = self.split(w)
+                if parts:
+                    yield i + 1, parts[0], pre + parts[1] + post, ("misread",) * parts[2]
+        # words in several parts: the first ones as they are, each further one until none may follow
+        left, paid, kinds, j, sure = t, 0.0, (), i, True
+        while j + 1 < stop:
+            at_end = ends[j]
+            before, right, after = core(tokens[j + 1])
+            if not right or not right[0].isalpha():
+                return
+            m = _HYPHEN_END.search(left)
+            if m:
+                if (before and not (marks and at_end)) or (not at_end and (before or not right[0].islower() or not left[m.start(2) - 1].isalpha())):
+                    return
+                lead, first = left[: m.start(1)] + core(m[1])[0], core(m[1])[1]
+                more = right[-1] in HYPHENS
+                got = self.joins(first, right, m[2]) if first else None
+                if not got or not (sure or more or self.known(got[0])):
+                    return
+                step, known = HYPHENATED, self.cost(got[0]) if self.known(got[0]) else min(self.cost(got[0]), self.cost(first) + self.cost(right))
+                kinds = ("broken_word",)
+            else:
+                lead, first, tail = core(left)
+                if tail or before or not first or not first[-1].isalpha() or not right[0].islower() or (not at_end and self.known(first) and self.known(right)):
+                    return
+                whole = first + right
+                more = right[-1] in HYPHENS
+                step = LINE_END if at_end else SPACE
+                if self.known(whole):
+                    fixed = whole
+                elif self.known(first) and self.known(right):
+                    fixed = None
+                else:
+                    # confusions halve a word at most; where its parts are surely cheaper, none is looked for
+                    apart = min(self.cost(first), self.cost(self.repair(first) or first) + CONFUSED) + min(self.cost(right), self.cost(j + 1 != half and self.repair(right) or right) + CONFUSED)
+                    bound = step + CONFUSED + self.least[min(41, len(whole) // 2)]
+                    fixed = self.repair(whole) if more or i != j or apart > bound else None
+                if not fixed and not more:
+                    return
+                got = fixed or whole, bool(fixed) and fixed.lower() != whole.lower()
+                # only a word of the vocabulary is believed to be divided without a hyphen
+                sure = False
+                known = self.cost(got[0])
+                kinds = kinds or ("broken_word",) * at_end
+            paid += step
+            j += 1
+            left = lead + got[0] + after
+            if sure or not more:
+                yield j + 1, paid + known + CONFUSED * got[1] + DANGLING * more, left, kinds + ("misread",) * got[1]
+            if after or j - i > 4:
+                return
+
+    def read(self, tokens: list[str], ends: list[bool], odd: set[int], half: int = -1, marks: bool = False) -> list[tuple[str, tuple[str, ...]]]:
+        """(text, kinds of damage) in order: the cheapest reading of a stream of tokens; ``ends`` tells those at a line's end.
+
+        Only around ``odd`` tokens, hyphens and line ends within a word of
+        the vocabulary is there more than one reading.
+        """
+        n = len(tokens)
+        active = bytearray(n)
+        for i in odd.union(i for i, t in enumerate(tokens) if t[-1] in HYPHENS):
+            active[max(0, i - 1) : i + 2] = b"\1" * (min(n, i + 2) - max(0, i - 1))
+        i = ends.index(True) if n else -1
+        while 0 <= i < n - 1:
+            t, u = tokens[i], tokens[i + 1]
+            if t[-1].isalpha() and u[0].islower() and (core(t)[1] + core(u)[1]).lower() in self.words:
+                active[i : i + 2] = b"\1\1"
+            i = ends.index(True, i + 1)
+        out: list[tuple[str, tuple[str, ...]]] = []
+        i = 0
+        while i < n:
+            start = active.find(1, i)
+            start = n if start < 0 else start
+            out += [(t, ()) for t in tokens[i:start]]
+            i = start
+            if i == n:
+                break
+            stop = active.find(0, i)
+            stop = n if stop < 0 else stop
+            best: list[tuple | None] = [None] * (stop - i + 1)
+            best[0] = (0.0, 0, "", ())
+            for k in range(stop - i):
+                for to, c, text, kinds in self.readings(tokens, ends, i + k, stop, half, marks):
+                    if best[to - i] is None or best[k][0] + c < best[to - i][0]:
+                        best[to - i] = (best[k][0] + c, k, text, kinds)
+            path, k = [], stop - i
+            while k:
+                path.append(best[k][2:])
+                k = best[k][1]
+            out += reversed(path)
+            i = stop
+        return out
+
+
 def page_number(line: str, first: int | None, last: int | None) -> str | None:
     """The number of a line that has a page number alone, as printed; near the pages of the record where these are known."""
     m = _PAGE.match(line)
@@ -324,11 +506,7 @@ class Scanner:
             return [], []
         lines = [x for x in text.splitlines() if x.strip()]
         several = len(lines) > 1
-        # the last token of a text without an end may be half a word
-        odd = self._odd(tokens if tokens[-1][-1] in ".!?…:;,)\"'”’»" else tokens[:-1])
-        divided = any(h in text for h in HYPHENS)
         found: set[str] = set()
-        fragments: set[str] = set()
         heads: list[tuple[str, str]] = []
         body = lines
         if several:
@@ -346,19 +524,22 @@ class Scanner:
                     body.append(line)
         for line in body:
             heads += heads_within(line, not several)
-        if divided:
-            for a, b in zip(body, body[1:]):
-                m = _HYPHEN_END.search(a) if a.rstrip()[-1] in HYPHENS else None
-                if m:
-                    self._divided(core(m[1])[1], m[2], core(b.split()[0])[1], found, fragments)
-            for line in body:
-                for m in _BROKEN_INLINE.finditer(line):
-                    self._divided(core(m[1])[1], m[2], core(m[3])[1], found, fragments)
-        if odd and "misread" not in found:
-            for w in odd:
-                if w not in fragments and w[-1] not in HYPHENS and self.decoder.repair(w):
+        # the last token of a text without an end may be half a word
+        whole = tokens[-1][-1] in ".!?…:;,)\"'”’»"
+        if len(body) < len(lines):
+            own = [x.split() for x in body]
+            left = Counter(tokens)
+            left.subtract(t for x in own for t in x)
+            for w in self._odd([t for t, c in left.items() if c > 0 and (whole or t != tokens[-1])]):
+                if w[-1] not in HYPHENS and self.decoder.repair(w):
                     found.add("misread")
                     break
+            half = -1 if whole or not body or body[-1] is not lines[-1] else sum(map(len, own)) - 1
+        else:
+            own = [x.split() for x in lines] if several else [tokens]
+            half = -1 if whole else len(tokens) - 1
+        for _, kinds in self._read(own, half, True):
+            found.update(kinds)
         return sorted(found), heads
 
     def damages(self, rows: list[tuple[str | None, int | None, int | None]]) -> list[tuple[list[str], list[tuple[str, str]]]]:
@@ -373,15 +554,20 @@ class Scanner:
                     out[i] = [], []
         return out
 
-    def _divided(self, left: str, hyphen: str, right: str, found: set[str], fragments: set[str]) -> None:
-        if not left or not right or not right[0].isalpha():
-            return
-        got = self.decoder.joins(left, right, hyphen)
-        if got:
-            found.add("broken_word")
-            fragments.update((right, left, left + hyphen))
-            if got[1]:
-                found.add("misread")
+    def _read(self, lines: list[list[str]], half: int = -1, marks: bool = False) -> list[tuple[str, tuple[str, ...]]]:
+        """The decoder's reading of lines of tokens as one stream; nothing where it can only be the tokens as they are and ``marks`` are asked for."""
+        tokens = lines[0] if len(lines) == 1 else [t for x in lines for t in x]
+        fine = self.fine
+        odd = {i for i, t in enumerate(tokens) if t not in fine and i != half and self._odd([t])}
+        if marks and not odd and len(lines) < 2 and not any(t[-1] in HYPHENS for t in tokens):
+            return []
+        ends = [False] * len(tokens)
+        k = -1
+        for x in lines:
+            k += len(x)
+            if k >= 0:
+                ends[k] = True
+        return self.decoder.read(tokens, ends, odd, half, marks)
 
     def readable(self, text: str, heads: set[str], first: int | None, last: int | None) -> str:
         """The text in paragraphs of continuous lines, repaired; ``heads`` are the normal forms of running heads to leave out."""
@@ -398,30 +584,7 @@ class Scanner:
             kept.append(s)
         out = []
         for block in paragraphs_of(kept):
-            stream = ""
-            for line in block:
-                m = _HYPHEN_END.search(stream) if stream else None
-                head = line.split()[0] if line.split() else ""
-                if m and head:
-                    pre, w, post = core(head)
-                    got = self.decoder.joins(core(m[1])[1], w, m[2]) if w and not pre else None
-                    if got:
-                        start = stream[: m.start(1)] + core(m[1])[0]
-                        stream = start + got[0] + post + line[line.index(head) + len(head) :]
-                        continue
-                stream = f"{stream} {line}" if stream else line
-
-            def glue(m: regex.Match) -> str:
-                pre, w, post = core(m[3])
-                got = self.decoder.joins(core(m[1])[1], w, m[2]) if w and not pre else None
-                return core(m[1])[0] + got[0] + post if got else m[0]
-
-            stream = _BROKEN_INLINE.sub(glue, stream)
-            fixed = []
-            for t in stream.split():
-                pre, w, post = core(t)
-                r = self.decoder.repair(w) if w else None
-                fixed.append(pre + r + post if r else t)
+            fixed = [t for t, _ in self._read([line.split() for line in block])]
             if fixed:
                 out.append(" ".join(fixed))
         return "\n\n".join(out)

@@ -102,3 +102,24 @@ def test_paragraph_boundaries():
     lines = ["The first sentence goes on and on to the margin", "and ends here.", "A second paragraph begins and runs to the margin", "with more of it that goes on to the margin again", "and stops.", "", "Third."]
     assert [len(x) for x in scans.paragraphs_of(lines)] == [2, 3, 1]
     assert scans.paragraphs_of(["", ""]) == []
+
+
+def test_words_divided_without_a_hyphen_and_run_together(spark, tables):
+    rows = [(1, "The library had replaced the older har\nbour before 1850. Nobody in the town\nexpected the market to last."), (3, "Nobody in thetown expected thc market to last beyond theharb0ur."), (4, "Nobody in the town expected the market to\nlast beyond the\nprice."), (5, "The library had replaced the older har\nb0ur before 1850.")]
+    got = {}
+    for r in scans.damaged(*tables(rows)).filter("record_id < 10000").collect():
+        got.setdefault(r.record_id, set()).add(r.noise)
+    assert got[1] == {"broken_word"} and got[3] == {"misread"} and 4 not in got and got[5] == {"broken_word", "misread"}
+    text = {r.record_id: r.text for r in scans.repaired(*tables(rows)).filter("record_id < 10000").collect()}
+    assert text[1] == "The library had replaced the older harbour before 1850. Nobody in the town expected the market to last."
+    assert text[3] == "Nobody in the town expected the market to last beyond the harbour."
+    assert text[5] == "The library had replaced the older harbour before 1850."
+
+
+def test_the_cheapest_reading_of_a_stream():
+    words = {"the": 6000, "harbour": 300, "bar": 200, "old": 500, "foot": 100, "ball": 100, "football": 120, "was": 900}
+    read = lambda text: " ".join(t for t, _ in scans.Scanner(words, {})._read([x.split() for x in text.split("\n")]))
+    assert read("the har\nbour was") == "the harbour was"
+    assert read("the foot\nball was") == "the foot ball was"
+    assert read("the foot-\nball was") == "the football was"
+    assert read("theharbour was") == "the harbour was" and read("the harb our was") == "the harbour was"
