@@ -9,7 +9,9 @@ calibrated for each language on blocks whose end is beyond doubt.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ ENOUGH_BLOCKS = 200
 #: Bins of log-odds for the calibration.
 _LOW, _HIGH, _BINS = -16.0, 16.0, 320
 
-#: Of entries, that one goes on is believed below these odds and with so many sightings of its last characters; else their last word decides.
-ENTRY_ODDS, ENTRY_SEEN = -5.0, 200
+#: An entry goes on after a word that stands before another one rather than at an end so many times as often as words do, even if OPEN_DOUBT of its ends went unseen (what no sighting in any number leaves possible at 95 %).
+OPEN_RATIO, OPEN_DOUBT = 20.0, 3.0
+#: Words that no entry ends with (fixed values).
+OPEN_WORDS = frozenset("and or nor the a an of from with into than whose und oder der das ein eine einen einem einer eines vom zum zur et ou le la les un une du des aux y e o el los las unos unas del al con".split())
 #: Share of complete words that the threshold for words may take for halves.
 WORD_MISSED = 0.0005
 
@@ -49,6 +53,7 @@ _ABBREVIATED = regex.compile(r"(?<![\p{L}.])(?:cf|approx|fig|figs|i\.e|e\.g|no|n
 _FINAL = regex.compile(r"[.!?…][\"'”’»)\]*_]*$")
 _SENTENCES = ("prose", "quote", "note")
 _ENTRIES = ("bullet", "number", "source")
+_LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’-]+$")
 _NUMBERED = regex.compile(r"\(?\p{Nd}{1,3}[.)]\s")
 
 
@@ -185,12 +190,46 @@ def _words(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return letter, last
 
 
+def _word_slots(word: str) -> list[int]:
+    """Two slots of a word, by different hashes."""
+    b = word.encode("utf-8", "surrogatepass")
+    return [crc32(b) % BUCKETS, crc32(b, 0x9E3779B9) * 0x85EBCA6B % (1 << 32) % BUCKETS + BUCKETS]
+
+
+def _count_words(found: list[tuple[str, str]], final: set[int], ends: np.ndarray, totals: np.ndarray) -> None:
+    """Add how often each word stands and how often at an end, in sentences (first row) and in entries (second).
+
+    A mark after a word is an end, and so is the end of an entry; the last
+    word of a text (the block is in ``final``) is not counted.
+    """
+    tokens: tuple[Counter, Counter] = Counter(), Counter()
+    last: Counter = Counter()
+    for i, (kind, block) in enumerate(found):
+        entry = kind in _ENTRIES
+        if entry or kind in _SENTENCES:
+            words = _context(kind, block).split()
+            w = words.pop() if words else ""
+            if i not in final and (entry or w and not w[-1].isalnum()):
+                (last if entry else tokens[0])[w] += 1
+            tokens[entry].update(words)
+    for row, counts, closing in ((0, tokens[0], False), (1, tokens[1], False), (1, last, True)):
+        for t, n in counts.items():
+            word = t.strip(_WORD_MARKS).lower()
+            if word and word[-1].isalpha():
+                at = _word_slots(word)
+                totals[row, at] += n
+                if closing or not t[-1].isalnum() and t[-1] not in "-*_":
+                    ends[row, at] += n
+
+
+_WORD_MARKS = "\"'“”‘’„«»()[]<>.,;:?!…*_—–-"
 _BY_SENTENCE = [_TYPE[t] for t in _SENTENCES]
 
 
 class Model:
     def __init__(self, ends: np.ndarray, totals: np.ndarray):
         self.ends, self.totals = ends, totals
+        self.word_ends, self.word_totals = (x[ORDER:, :BUCKETS].sum(axis=1, dtype=float) for x in (ends, totals))
 
     def log_odds(self, buckets: list[np.ndarray], kinds: np.ndarray, own_end: np.ndarray, counted: bool = True) -> np.ndarray:
         """Odds that a block ends at each position rather than goes on; where the positions were ``counted``, without each one's own count."""
@@ -206,9 +245,21 @@ class Model:
         p = np.clip(p, 1e-7, 1 - 1e-7)
         return np.log(p / (1 - p))
 
-    def seen(self, buckets: list[np.ndarray]) -> float:
-        """How often the last position's second longest context stands in the texts."""
-        return float(self.totals[ORDER - 2][buckets[ORDER - 2][:, -1]].min())
+    def open_word(self, word: str, counted: bool = True) -> bool:
+        """Whether an entry goes on after a word: by how often it ends one, and for lack of sightings by sentences too. Not ``counted`` are names, as any may be a first or a last one."""
+        low = word.lower()
+        if low in OPEN_WORDS:
+            return True
+        at = _word_slots(low)
+        ends, totals = self.ends[ORDER:, at].min(axis=1), self.totals[ORDER:, at].min(axis=1)
+        every_end, every = self.word_ends, self.word_totals
+        on, every_on = np.maximum(0.0, totals - ends), every - every_end
+        if not counted or min(every_on[1], every_end[1]) < 1:
+            return False
+        if on[1] / every_on[1] >= OPEN_RATIO * (ends[1] + OPEN_DOUBT) / every_end[1]:
+            return True
+        # too few sightings in entries: with those in sentences, if the entries do not speak against it
+        return bool(on.sum() / every_on.sum() >= OPEN_RATIO * (ends.sum() + OPEN_DOUBT) / every_end.sum() and on[1] / every_on[1] >= OPEN_RATIO * ends[1] / every_end[1])
 
     def word_odds(self, codes: np.ndarray) -> float | None:
         """Odds that the last character ends a word; None where it is no letter."""
@@ -224,8 +275,8 @@ def train(texts: DataFrame, text: str) -> Model:
     """Counts of block ends and of all positions by context, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = np.zeros((ORDER, 2 * BUCKETS), dtype=np.int64)
-        totals = np.zeros((ORDER, 2 * BUCKETS), dtype=np.int64)
+        ends = np.zeros((ORDER + 2, 2 * BUCKETS), dtype=np.int64)
+        totals = np.zeros((ORDER + 2, 2 * BUCKETS), dtype=np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 found: list[tuple[str, str]] = []
@@ -236,6 +287,7 @@ def train(texts: DataFrame, text: str) -> Model:
                         final.append(len(found) - 1)
                 if not found:
                     continue
+                _count_words(found, set(final), ends[ORDER:], totals[ORDER:])
                 codes, kinds, inside, end = _laid_out(found)
                 # whether the last sentence of a text ends is the question, not evidence
                 stops = np.cumsum([ORDER + len(_context(*b)) for b in found]) - 1
@@ -257,10 +309,10 @@ def train(texts: DataFrame, text: str) -> Model:
 
     summed = texts.select(text).mapInArrow(run, "slot int, ends bigint, n bigint").groupBy("slot").agg(F.sum("ends").cast("float").alias("ends"), F.sum("n").cast("float").alias("n"))
     got = {c: x.to_numpy() for c, x in zip(summed.columns, summed.toArrow().columns)}  # as many rows as the model has slots at most
-    ends, totals = np.zeros(2 * ORDER * BUCKETS, dtype=np.float32), np.zeros(2 * ORDER * BUCKETS, dtype=np.float32)
+    ends, totals = np.zeros(2 * (ORDER + 2) * BUCKETS, dtype=np.float32), np.zeros(2 * (ORDER + 2) * BUCKETS, dtype=np.float32)
     ends[got["slot"]] = got["ends"]
     totals[got["slot"]] = got["n"]
-    return Model(ends.reshape(ORDER, 2 * BUCKETS), totals.reshape(ORDER, 2 * BUCKETS))
+    return Model(ends.reshape(ORDER + 2, 2 * BUCKETS), totals.reshape(ORDER + 2, 2 * BUCKETS))
 
 
 def _language(text: str) -> str:
@@ -358,7 +410,7 @@ def cut_records(df: DataFrame, key: str = "record_id", text: str = "body_md", at
                     goes_on = False  # closed by its own mark
                 elif kind in _ENTRIES:
                     half = model.word_odds(codes)
-                    goes_on = (half is not None and half < word) or (kind != "source" and odds < ENTRY_ODDS and model.seen(buckets) >= ENTRY_SEEN)
+                    goes_on = (half is not None and half < word) or block.count("(") > block.count(")") or (half is not None and model.open_word(_LAST_WORD.search(block)[0], kind != "source"))
                 else:
                     # nothing follows, so neither a comma, a colon nor an abbreviation can be the end
                     goes_on = odds < closed or (kind == "prose" and (block[-1] in ",;:(" or _ABBREVIATED.search(block) is not None))

@@ -63,3 +63,13 @@ def test_blocks_and_endings():
     assert truncation.ending("a [p:3f")[2] and truncation.ending("a **")[2] and truncation.ending("```\nx")[2]
     assert truncation.ending("done. [p:3f-9]")[1:] == (False, False)
     assert truncation.ending("so it went on […]")[:2] == ([("prose", "so it went on")], True)
+
+
+def test_entries_cut_after_a_whole_word(spark, at):
+    """A small table tells open ends of entries as a large one does."""
+    rng = random.Random(9)
+    whole = [body(rng) for _ in range(300)] + [body(rng, f"- {rng.choice(ADJ)} {rng.choice(NOUNS)}\n- {rng.choice(ADJ)} {n}") for n in NOUNS] + [body(rng, "- hall (town)\n- older price (quiet)")]
+    cut = [body(rng, f"- small price\n{mark} {tail}") for mark, tail in (("-", "ancestor and"), ("*", "price of the"), ("-", "older"), ("1.", "quiet"), ("-", "careful problem (Grulavale"), ("-", "small"))] + [body(rng, "> The harbour was quiet.\n>\n> — Anna Hall, The")]
+    got = {r.record_id: r.cut for r in truncation.cut_records(frame(spark, at, whole + cut)).collect()}
+    assert [i for i in range(len(whole), len(got)) if not got[i]] == []
+    assert sum(got[i] for i in range(len(whole))) <= 3 and not any(got[i] for i in range(300, len(whole)))
