@@ -2,7 +2,8 @@
 
 The deterministic provider behind the provider interface: key terms by
 frequency within a chapter against the corpus, the thesis as the first
-sentence, and a condensed text of the best sentences in their order.
+sentence, and a condensed text of the best sentences in their order
+(``best_sentences``) or of the first ones (``condensed``, as its SQL has it).
 """
 
 from __future__ import annotations
@@ -56,6 +57,28 @@ def condensed(sents: DataFrame, targets: DataFrame) -> DataFrame:
     return by.select("book_slug", "section_pos", F.array_join(F.transform("a", lambda s: s["sentence"]), " ").alias("body_md"), "word_count")
 
 
+def best_sentences(sents: DataFrame, targets: DataFrame, items: DataFrame) -> DataFrame:
+    """(book_slug, section_pos, body_md, word_count): the best sentences of all of a chapter, in their order.
+
+    First come the chapter's first sentence and the one that names each item
+    (``items`` has book_slug, section_pos and name) first, then those that
+    name the most items, the earlier ones before. A sentence is taken if the
+    better ones have not filled the target yet.
+    """
+    key, at = ["book_slug", "section_pos"], ["para_pos", "sent"]
+    padded = lambda c: F.concat(F.lit(" "), match_form(c), F.lit(" "))
+    names = items.filter(match_form(F.col("name")) != "").groupBy(*key).agg(F.collect_set(padded(F.col("name"))).alias("names"))
+    x = sents.join(targets.select(*key, "target_words"), key).join(names, key, "left").withColumn("form", padded(F.col("sentence")))
+    x = x.withColumn("hits", F.coalesce(F.filter("names", lambda n: F.contains(F.col("form"), n)), F.array().cast("array<string>"))).drop("names", "form")
+    w = Window.partitionBy(*key).orderBy(*at)
+    earlier = F.flatten(F.collect_set("hits").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("new", F.size(F.array_except("hits", earlier)) > 0).withColumn("first", F.row_number().over(w) == 1)
+    best = Window.partitionBy(*key).orderBy(F.desc("first"), F.desc("new"), F.desc(F.size("hits")), *at).rowsBetween(Window.unboundedPreceding, -1)
+    kept = x.withColumn("before", F.coalesce(F.sum("n_words").over(best), F.lit(0))).filter(F.col("before") < F.col("target_words"))
+    by = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*at, "sentence"))).alias("a"), F.sum("n_words").alias("word_count"))
+    return by.select(*key, F.array_join(F.transform("a", lambda s: s["sentence"]), " ").alias("body_md"), "word_count")
+
+
 Answer = Callable[[list[dict]], list[str]]
 
 

@@ -88,7 +88,7 @@ def spine(run: Run) -> Tables:
 
 def distill(run: Run) -> Tables:
     c = run.table("spine_chapters")
-    text = condense.condensed(condense.sentences(run.table("paragraphs")), run.table("targets"))
+    text = condense.best_sentences(condense.sentences(run.table("paragraphs")), run.table("targets"), run.table("spine_items"))
     return {"distilled": text.join(c.select("book_slug", "section_pos", "chapter_title"), ["book_slug", "section_pos"])}
 
 

@@ -158,3 +158,14 @@ def test_no_text_no_trouble(spark, tmp_path):
     assert run.table("paragraphs").count() == 0
     with zipfile.ZipFile(tmp_path / "x.zip", "w"):
         pass
+
+
+def test_the_best_sentences_of_the_whole_chapter(spark):
+    texts = ["The chapter begins with this.", *["Nothing of note is said in here."] * 6, "The Harbour was what mattered.", "Nothing more is said.", "A library came after it."]
+    paras = spark.createDataFrame([("b", 0, i, t) for i, t in enumerate(texts)], "book_slug string, section_pos int, para_pos int, text string")
+    targets = spark.createDataFrame([("b", 0, 15)], "book_slug string, section_pos int, target_words int")
+    items = spark.createDataFrame([("b", 0, "harbour"), ("b", 0, "Library"), ("b", 0, "")], "book_slug string, section_pos int, name string")
+    sents = condense.sentences(paras)
+    got = condense.best_sentences(sents, targets, items).first()
+    assert got.body_md == " ".join(texts[i] for i in (0, 7, 9)) and got.word_count == 15
+    assert condense.best_sentences(sents, targets, items.limit(0)).first().body_md == condense.condensed(sents, targets).first().body_md
