@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 #: Function words by language, as lower-case words (fixed values).
 FUNCTION_WORDS: dict[str, frozenset[str]] = {
     "en": frozenset("the a an of to in and or but not is was were are be been it its this that these those for with by on at from as if so no nor what which who whom whose how why when where once after before until while whether had has have does did do will would can could may might should must he she they we you i us them him her his their our my your one each every some any all both neither either than then there here only still yet never".split()),
@@ -15,12 +13,14 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
 
 
+#: The languages, by their place, that each function word belongs to.
+_OF = {w: tuple(i for i, lang in enumerate(LANGUAGES) if w in FUNCTION_WORDS[lang]) for w in ALL_FUNCTION_WORDS}
+
+
 def detect(words: list[str]) -> str:
     """The language most of the lower-case words belong to by function words; ``en`` where none does."""
-    n = Counter(words)
-    best, most = "en", 0
-    for lang, own in FUNCTION_WORDS.items():
-        k = sum(n[w] for w in own)
-        if k > most:
-            best, most = lang, k
-    return best
+    n = [0] * len(LANGUAGES)
+    for own in filter(None, map(_OF.get, words)):
+        for i in own:
+            n[i] += 1
+    return LANGUAGES[n.index(max(n))] if any(n) else "en"

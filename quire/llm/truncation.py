@@ -11,19 +11,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.llm.language import LANGUAGES, detect
 from quire.session import materialize
-from quire.tables import latest
 
-#: Longest context in characters, and buckets of each order; together the fixed size of the model. Sentences need fewer characters than entries to tell an end.
-ORDER, SENTENCE_ORDER, BUCKETS = 6, 4, 1 << 18
+#: Longest context in characters. Sentences need fewer characters than entries to tell an end.
+ORDER, SENTENCE_ORDER = 6, 4
 #: Weight of the shorter context in a longer one's estimate.
 BACKOFF = 2.0
 #: Log-odds (natural) that part ends from stops where a language has too few blocks to calibrate.
@@ -134,21 +133,22 @@ def _context(kind: str, block: str) -> str:
     return _CLOSED_CITATION.sub("", block) or block
 
 
-def _hashes(codes: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
-    """For each order two buckets, by different hashes, of the characters up to and with each position, read backward."""
-    out = []
-    with np.errstate(over="ignore"):
-        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        h = (kinds.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
-        for n in range(ORDER):
-            h = h * np.uint64(0xBF58476D1CE4E5B9)
-            h[n:] += mixed[: len(mixed) - n]
-            h ^= h >> np.uint64(31)
-            one = (h * np.uint64(0x94D049BB133111EB) >> np.uint64(46)).astype(np.int64)
-            two = (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(46)).astype(np.int64)
-            out.append(np.stack([one, two + BUCKETS]))
-    return out
+#: A context is packed in 62 bits: kind of block (4), the last characters (9 each, the last one first), language (2), whether it ends there, whether a space follows.
+_SYMBOL, _FLAGS = 9, 4
+#: Characters laid out at once, and distinct contexts and words a task holds before it passes them on.
+CHUNK, HELD = 1_000_000, 1_000_000
+
+
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """(symbol of each character of the basic plane, the last one for those beyond; whether a symbol is a letter).
+
+    Latin-1 is exact; other letters share 192 symbols, other signs 64.
+    """
+    codes = np.arange(0x10001, dtype=np.int64)
+    letter = np.array([chr(c).isalpha() for c in range(0x10000)] + [True])
+    spread = codes * 2654435761 % (1 << 32) >> 16
+    table = np.where(codes < 256, codes, np.where(letter, 256 + spread % 192, 448 + spread % 64))
+    return table, np.concatenate([letter[:256], np.arange(256, 512) < 448])
 
 
 def _laid_out(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,192 +171,262 @@ def _laid_out(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.
     for (kind, _), t, stop in zip(found, texts, stops.tolist()):
         if kind in _SENTENCES:
             for m in _SENTENCE_END.finditer(t):
-                if _ABBREVIATED.search(t, max(0, m.start() - 8), m.end()):
+                if t[m.start()] == "." and _ABBREVIATED.search(t, max(0, m.start() - 8), m.end()):
                     continue
                 # the quotation marks and brackets after it are part of the end
                 end[stop - len(t) + m.start() : stop - len(t) + m.end()] = True
-            m = _FINAL.search(t)
+            m = _FINAL.search(t, max(0, len(t) - 16))
             if m:
                 end[stop - len(m[0]) : stop] = True
     return codes, kinds, inside, end
 
 
-def _words(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is letter, is the last letter of a word) of laid out blocks."""
-    text = codes.tobytes().decode("utf-32-le", "surrogatepass")
-    letter = np.fromiter(map(str.isalpha, text), dtype=bool, count=len(text)) & inside
-    last = letter.copy()
-    last[:-1] &= ~letter[1:]
-    return letter, last
-
-
-def _word_slots(word: str) -> list[int]:
-    """Two slots of a word, by different hashes."""
-    b = word.encode("utf-8", "surrogatepass")
-    return [crc32(b) % BUCKETS, crc32(b, 0x9E3779B9) * 0x85EBCA6B % (1 << 32) % BUCKETS + BUCKETS]
+class Counts:
+    """Contexts and words of many texts with their counts, in bounded memory."""
 
+    def __init__(self) -> None:
+        self.table, self.letters = _symbols()
+        self.keys: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
+        self.waiting = 0
+        #: How often a token stands in sentences, in entries, at the end of a sentence without a mark, and of an entry.
+        self.tokens: tuple[Counter, Counter, Counter, Counter] = (Counter(), Counter(), Counter(), Counter())
 
-def _count_words(found: list[tuple[str, str]], final: set[int], ends: np.ndarray, totals: np.ndarray) -> None:
-    """Add how often each word stands and how often at an end, in sentences (first row) and in entries (second).
-
-    A mark after a word is an end, and so is the end of an entry; the last
-    word of a text (the block is in ``final``) is not counted.
-    """
-    tokens: tuple[Counter, Counter] = Counter(), Counter()
-    last: Counter = Counter()
-    for i, (kind, block) in enumerate(found):
-        entry = kind in _ENTRIES
-        if entry or kind in _SENTENCES:
-            words = _context(kind, block).split()
-            w = words.pop() if words else ""
-            if i not in final and (entry or w and not w[-1].isalnum()):
-                (last if entry else tokens[0])[w] += 1
-            tokens[entry].update(words)
-    for row, counts, closing in ((0, tokens[0], False), (1, tokens[1], False), (1, last, True)):
-        for t, n in counts.items():
-            word = t.strip(_WORD_MARKS).lower()
-            if word and word[-1].isalpha():
-                at = _word_slots(word)
-                totals[row, at] += n
-                if closing or not t[-1].isalnum() and t[-1] not in "-*_":
-                    ends[row, at] += n
+    def packed(self, codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Kind and last characters of each position."""
+        symbols = self.table[np.minimum(codes, 0x10000)]
+        key = kinds.astype(np.int64) << _SYMBOL * ORDER
+        for n in range(ORDER):
+            key[n:] |= symbols[: len(symbols) - n] << _SYMBOL * (ORDER - 1 - n)
+        return key
+
+    def last(self, kind: str, block: str) -> tuple[int, int | None]:
+        """(the packed last context of a block, the same as that of a word, None where no letter is last)."""
+        tail = "\x02" * ORDER + _context(kind, block)
+        codes = np.frombuffer(tail[-ORDER:].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        key = int(self.packed(codes, np.full(ORDER, _TYPE[kind]))[-1])
+        return key, (key & ((1 << _SYMBOL * ORDER) - 1) | _TYPE["word"] << _SYMBOL * ORDER if tail[-1].isalpha() else None)
+
+    def add(self, found: list[tuple[str, str]], final: list[int], langs: list[int]) -> None:
+        """Count blocks; ``final`` are the last ones of their texts, ``langs`` the languages of all."""
+        codes, kinds, inside, end = _laid_out(found)
+        lens = [ORDER + len(_context(*b)) for b in found]
+        stops = np.cumsum(lens) - 1
+        # whether the last sentence or entry of a text ends is the question, not evidence
+        for i in final:
+            k = int(stops[i])
+            inside[k] = False
+            while end[k]:
+                end[k] = inside[k] = False
+                k -= 1
+        lang = np.repeat(np.array(langs, dtype=np.int64), lens)
+        letter = self.letters[self.table[np.minimum(codes, 0x10000)]] & inside
+        follows = np.full(len(codes), 2)
+        follows[:-1] = np.where(letter[1:], 0, np.where((codes[1:] == 32) & inside[1:], 1, 2))
+        for a in range(0, len(codes), CHUNK):
+            b = a + CHUNK
+            begin = max(0, a - ORDER)
+            key = self.packed(codes[begin:b], kinds[begin:b])[a - begin :]
+            self._count((key << 5 | lang[a:b] << 3 | end[a:b].astype(np.int64) << 2 | follows[a:b])[inside[a:b]])
+        for i, (kind, block) in enumerate(found):
+            entry = kind in _ENTRIES
+            if entry or kind in _SENTENCES:
+                words = _context(kind, block).split()
+                w = words.pop() if words else ""
+                if i not in final and (entry or w and not w[-1].isalnum()):
+                    self.tokens[3 if entry else 0][w] += 1
+                self.tokens[entry].update(words)
+
+    def _count(self, keys: np.ndarray) -> None:
+        got = pc.value_counts(pa.array(keys))
+        self.keys.append(got.field("values").to_numpy())
+        self.numbers.append(got.field("counts").to_numpy())
+        self.waiting += len(got)
+        if self.waiting > HELD:
+            self._merge()
+
+    def _merge(self) -> None:
+        if self.keys:
+            t = pa.table({"k": np.concatenate(self.keys), "n": np.concatenate(self.numbers)}).group_by("k").aggregate([("n", "sum")])
+            self.keys, self.numbers = [t["k"].to_numpy()], [t["n_sum"].to_numpy()]
+            self.waiting = 0
+
+    def full(self) -> bool:
+        return sum(map(len, self.keys)) > HELD or sum(map(len, self.tokens)) > HELD
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(packed contexts with their flags, counts): each position as one of its block, letters as one of a word too."""
+        self._merge()
+        if not self.keys:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        key, n = self.keys[0], self.numbers[0]
+        self.keys, self.numbers = [], []
+        context, lang, end, follows = key >> 5, key >> 3 & 3, key >> 2 & 1, key & 3
+        block = context << _FLAGS | lang << 2 | end << 1 | ((follows == 1) & (end == 0))
+        letter = self.letters[context >> _SYMBOL * (ORDER - 1) & 511]
+        word = (context & ((1 << _SYMBOL * ORDER) - 1) | _TYPE["word"] << _SYMBOL * ORDER) << _FLAGS | lang << 2 | (follows != 0).astype(np.int64) << 1
+        return np.concatenate([block, word[letter]]), np.concatenate([n, n[letter]])
+
+    def words(self) -> list[tuple[str, bool, int, int]]:
+        """(word, in entries, how often, how often at an end): a mark after a word is an end, and so is the end of an entry."""
+        out: dict[tuple[str, bool], list[int]] = {}
+        for of, counts in enumerate(self.tokens):
+            for t, n in counts.items():
+                word = t.strip(_WORD_MARKS).lower()
+                if word and word[-1].isalpha():
+                    row = out.setdefault((word, of in (1, 3)), [0, 0])
+                    row[0] += n
+                    if of == 3 or not t[-1].isalnum() and t[-1] not in "-*_":
+                        row[1] += n
+            counts.clear()
+        return [(w, e, n, k) for (w, e), (n, k) in out.items()]
 
 
 _WORD_MARKS = "\"'“”‘’„«»()[]<>.,;:?!…*_—–-"
 _BY_SENTENCE = [_TYPE[t] for t in _SENTENCES]
 
+#: What the one pass over the texts gives: rows of records, of contexts and of words.
+_ROW = "what string, language string, kind int, context bigint, word_context bigint, marked boolean, opened boolean, closed boolean, unfinished boolean, unclosed boolean, word string, n bigint, ends bigint"
+
 
-class Model:
-    def __init__(self, ends: np.ndarray, totals: np.ndarray):
-        self.ends, self.totals = ends, totals
-        self.word_ends, self.word_totals = (x[ORDER:, :BUCKETS].sum(axis=1, dtype=float) for x in (ends, totals))
-
-    def log_odds(self, buckets: list[np.ndarray], kinds: np.ndarray, own_end: np.ndarray, counted: bool = True) -> np.ndarray:
-        """Odds that a block ends at each position rather than goes on; where the positions were ``counted``, without each one's own count."""
-        own = 1.0 if counted else 0.0
-        e0, t0 = self.ends[0, :BUCKETS].sum(), self.totals[0, :BUCKETS].sum()
-        p = np.full(len(own_end), (e0 + 0.5) / (t0 + 1.0))
-        for n, b in enumerate(buckets):
-            # a bucket may hold other contexts too; of the two the smaller counts are nearer
-            e = np.maximum(0.0, self.ends[n][b].min(axis=0) - own * own_end)
-            t = np.maximum(e, self.totals[n][b].min(axis=0) - own)
-            longer = (e + BACKOFF * p) / (t + BACKOFF)
-            p = longer if n < SENTENCE_ORDER else np.where(np.isin(kinds, _BY_SENTENCE), p, longer)
-        p = np.clip(p, 1e-7, 1 - 1e-7)
-        return np.log(p / (1 - p))
-
-    def open_word(self, word: str, counted: bool = True) -> bool:
-        """Whether an entry goes on after a word: by how often it ends one, and for lack of sightings by sentences too. Not ``counted`` are names, as any may be a first or a last one."""
-        low = word.lower()
-        if low in OPEN_WORDS:
-            return True
-        at = _word_slots(low)
-        ends, totals = self.ends[ORDER:, at].min(axis=1), self.totals[ORDER:, at].min(axis=1)
-        every_end, every = self.word_ends, self.word_totals
-        on, every_on = np.maximum(0.0, totals - ends), every - every_end
-        if not counted or min(every_on[1], every_end[1]) < 1:
-            return False
-        if on[1] / every_on[1] >= OPEN_RATIO * (ends[1] + OPEN_DOUBT) / every_end[1]:
-            return True
-        # too few sightings in entries: with those in sentences, if the entries do not speak against it
-        return bool(on.sum() / every_on.sum() >= OPEN_RATIO * (ends.sum() + OPEN_DOUBT) / every_end.sum() and on[1] / every_on[1] >= OPEN_RATIO * ends[1] / every_end[1])
-
-    def word_odds(self, codes: np.ndarray) -> float | None:
-        """Odds that the last character ends a word; None where it is no letter."""
-        if not chr(int(codes[-1])).isalpha():
-            return None
-        own = np.zeros(len(codes), dtype=np.float32)
-        own[-1] = 1.0
-        kinds = np.full(len(codes), _TYPE["word"])
-        return float(self.log_odds(_hashes(codes, kinds), kinds, own)[-1])
-
-
-def train(texts: DataFrame, text: str) -> Model:
-    """Counts of block ends and of all positions by context, over all texts."""
+def _read(held: DataFrame) -> DataFrame:
+    """One pass over (key, source, text): what the end of each text looks like, and the counts of all contexts and words."""
+    kinds = [held.schema[c].dataType.simpleString() for c in held.columns[:2]]
+    names = ["key", "source", *[c.split()[0] for c in _ROW.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = np.zeros((ORDER + 2, 2 * BUCKETS), dtype=np.int64)
-        totals = np.zeros((ORDER + 2, 2 * BUCKETS), dtype=np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                found: list[tuple[str, str]] = []
-                final: list[int] = []
-                for t in batch.slice(k, 200).column(0).to_pylist():
-                    if t and t.strip():
-                        found += ending(t)[0]
-                        final.append(len(found) - 1)
-                if not found:
-                    continue
-                _count_words(found, set(final), ends[ORDER:], totals[ORDER:])
-                codes, kinds, inside, end = _laid_out(found)
-                # whether the last sentence of a text ends is the question, not evidence
-                stops = np.cumsum([ORDER + len(_context(*b)) for b in found]) - 1
-                asked = np.array([stops[i] for i in final if i >= 0 and found[i][0] in _SENTENCES], dtype=np.int64)
-                for i in asked.tolist():
-                    k = i
-                    while end[k]:
-                        end[k] = inside[k] = False
-                        k -= 1
-                letter, last = _words(codes, inside)
-                for what, at, stop in ((kinds, inside, end), (np.full_like(kinds, _TYPE["word"]), letter, last)):
-                    entry = ~np.isin(what, _BY_SENTENCE)
-                    for n, b in enumerate(_hashes(codes, what)):
-                        longer = at & entry if n >= SENTENCE_ORDER else at
-                        totals[n] += np.bincount(b[:, longer].ravel(), minlength=2 * BUCKETS)
-                        ends[n] += np.bincount(b[:, stop & longer].ravel(), minlength=2 * BUCKETS)
-        hit = totals.reshape(-1).nonzero()[0]
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(ends.reshape(-1)[hit]), pa.array(totals.reshape(-1)[hit])], names=["slot", "ends", "n"])
-
-    summed = texts.select(text).mapInArrow(run, "slot int, ends bigint, n bigint").groupBy("slot").agg(F.sum("ends").cast("float").alias("ends"), F.sum("n").cast("float").alias("n"))
-    got = {c: x.to_numpy() for c, x in zip(summed.columns, summed.toArrow().columns)}  # as many rows as the model has slots at most
-    ends, totals = np.zeros(2 * (ORDER + 2) * BUCKETS, dtype=np.float32), np.zeros(2 * (ORDER + 2) * BUCKETS, dtype=np.float32)
-    ends[got["slot"]] = got["ends"]
-    totals[got["slot"]] = got["n"]
-    return Model(ends.reshape(ORDER + 2, 2 * BUCKETS), totals.reshape(ORDER + 2, 2 * BUCKETS))
+        counts = Counts()
+        schema: pa.Schema | None = None
 
+        def rows(size: int, **columns: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-def _language(text: str) -> str:
-    return detect(text.lower().split())
-
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys, n = counts.contexts()
+            yield rows(len(keys), what=["context"] * len(keys), context=keys, n=n)
+            words = counts.words()
+            yield rows(len(words), what=["entry" if w[1] else "sentence" for w in words], word=[w[0] for w in words], n=[w[2] for w in words], ends=[w[3] for w in words])
 
-def calibrate(texts: DataFrame, text: str, model: Model) -> dict[str, tuple[float, float]]:
+        for batch in batches:
+            if schema is None:
+                s, i, b, t = pa.string(), pa.int32(), pa.bool_(), pa.int64()
+                schema = pa.schema(list(zip(names, [batch.column(0).type, batch.column(1).type, s, s, i, t, t, b, b, b, b, b, s, t, t])))
+            out: dict[str, list] = {c: [] for c in names[3:13]}
+            found: list[tuple[str, str]] = []
+            final: list[int] = []
+            langs: list[int] = []
+            size = 0
+            for text in batch.column(2).to_pylist():
+                for c in out.values():
+                    c.append(None)
+                if not text or not text.strip():
+                    out["marked"][-1] = out["opened"][-1] = False
+                    continue
+                lang = _language(text)
+                own, marked, opened = ending(text)
+                for c, v in (("language", lang), ("marked", marked), ("opened", opened)):
+                    out[c][-1] = v
+                if not own:
+                    continue
+                kind, block = own[-1]
+                context, word_context = counts.last(kind, block)
+                last = _LAST_WORD.search(block[-200:])
+                for c, v in (
+                    ("kind", _TYPE[kind]),
+                    ("context", context),
+                    ("word_context", word_context),
+                    ("closed", (kind == "row" and block.endswith("|")) or (kind == "note" and len(block) > 2 and block[0] == block[-1])),
+                    ("unfinished", kind == "prose" and (block[-1] in ",;(" or _ABBREVIATED.search(block[-16:]) is not None)),
+                    ("unclosed", kind in _ENTRIES and block.count("(") > block.count(")")),
+                    ("word", last[0].lower() if last and kind in _ENTRIES and word_context is not None else None),
+                ):
+                    out[c][-1] = v
+                found += own
+                final.append(len(found) - 1)
+                langs += [LANGUAGES.index(lang)] * len(own)
+                size += len(text)
+                if size > CHUNK:
+                    counts.add(found, final, langs)
+                    found, final, langs, size = [], [], [], 0
+            if found:
+                counts.add(found, final, langs)
+            yield rows(batch.num_rows, key=batch.column(0), source=batch.column(1), what=["record"] * batch.num_rows, **out)
+            if counts.full():
+                yield from counted()
+        if schema is not None:
+            yield from counted()
+
+    return held.mapInArrow(run, f"key {kinds[0]}, source {kinds[1]}, {_ROW}")
+
+
+def _context_odds(read: DataFrame) -> DataFrame:
+    """(context, language, is_end, spaced, n, asked, odds, odds_end, odds_on) of every context that stands anywhere or that a text ends with.
+
+    ``odds`` (natural logarithm) that a block of the kind ends after these
+    characters rather than goes on: the share of ends among all sightings,
+    each shorter context standing in for sightings the longer one lacks.
+    ``odds_end`` and ``odds_on`` are those for one of the sightings itself, an
+    end or none, without its own count.
+    """
+    whole = F.col("key")
+    prefix = [F.shiftright(whole, _FLAGS + _SYMBOL * (ORDER - n)) for n in range(ORDER + 1)]
+    rows = read.filter("what = 'context'").select(F.col("context").alias("key"), "n", F.lit(False).alias("asked"))
+    finals = read.filter("what = 'record' and context is not null")
+    asked = finals.select(F.explode(F.array("context", "word_context")).alias("c")).filter("c is not null").select(F.shiftleft("c", _FLAGS).alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")).distinct()
+    # every task has added up its own; all that shares the last characters of a sentence's context meets in one partition
+    every = rows.unionByName(asked).withColumn("k4", prefix[SENTENCE_ORDER]).repartition("k4").groupBy("k4", "key").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    every = every.withColumn("is_end", whole.bitwiseAND(2) > 0)
+    every = every.withColumn("e", F.when(F.col("is_end"), F.col("n")).otherwise(0))
+    t, e = F.sum("n"), F.sum("e")
+    shorter = every.groupBy(prefix[3].alias("k3")).agg(t.alias("t3"), e.alias("e3"))
+    by = {3: shorter}
+    for n in (2, 1):
+        longer = by[n + 1]
+        by[n] = longer.groupBy(F.shiftright(f"k{n + 1}", _SYMBOL).alias(f"k{n}")).agg(F.sum(f"t{n + 1}").alias(f"t{n}"), F.sum(f"e{n + 1}").alias(f"e{n}"))
+    total = read.filter("what = 'context'").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("context").bitwiseAND(2) > 0, F.col("n"))).alias("e")).first()
+    base = F.lit(((total["e"] or 0) + 0.5) / ((total["n"] or 0) + 1.0))
+
+    def nearer(p: Column, e: Column, t: Column, own_end: float, own: float) -> Column:
+        e = F.greatest(F.lit(0.0), e - own_end)
+        t = F.greatest(e, t - own)
+        return (e + BACKOFF * p) / (t + BACKOFF)
+
+    ways = {"odds": (0.0, 0.0), "odds_end": (1.0, 1.0), "odds_on": (0.0, 1.0)}
+    # few rows: one a pair of characters at most, then one for three
+    low = by[1].select("k1", *[nearer(base, F.col("e1"), F.col("t1"), *o).alias(w) for w, o in ways.items()])
+    for n in (2, 3):
+        k = F.shiftright(f"k{n}", _SYMBOL)
+        low = by[n].withColumn(f"k{n - 1}", k).join(low, f"k{n - 1}").select(f"k{n}", *[nearer(F.col(w), F.col(f"e{n}"), F.col(f"t{n}"), *o).alias(w) for w, o in ways.items()])
+    x = every.withColumn("k5", prefix[5]).withColumn("k6", prefix[6]).withColumn("k3", prefix[3])
+    for n in (6, 5, 4):
+        w = Window.partitionBy(*[f"k{i}" for i in range(SENTENCE_ORDER, n + 1)])
+        x = x.withColumn(f"t{n}", F.sum("n").over(w)).withColumn(f"e{n}", F.sum("e").over(w))
+    x = x.join(low, "k3")
+    sentence = F.shiftright("k6", _SYMBOL * ORDER).isin(_BY_SENTENCE)
+    for n in (4, 5, 6):
+        x = x.withColumns({w: nearer(F.col(w), F.col(f"e{n}"), F.col(f"t{n}"), *o) if n <= SENTENCE_ORDER else F.when(sentence, F.col(w)).otherwise(nearer(F.col(w), F.col(f"e{n}"), F.col(f"t{n}"), *o)) for w, o in ways.items()})
+    odds = {w: F.log(F.least(F.greatest(F.col(w), F.lit(1e-7)), F.lit(1 - 1e-7)) / (1 - F.least(F.greatest(F.col(w), F.lit(1e-7)), F.lit(1 - 1e-7)))) for w in ways}
+    return x.select(F.col("k6").alias("context"), F.shiftright("key", 2).bitwiseAND(3).cast("int").alias("language"), "is_end", (whole.bitwiseAND(1) > 0).alias("spaced"), "n", "asked", *[c.alias(w) for w, c in odds.items()])
+
+
+def _thresholds(odds: DataFrame) -> dict[str, tuple[float, float]]:
     """(threshold for sentences and closed entries, for words) of each language.
 
-    For each language the threshold with the fewest errors on inner blocks: ends of sentences and entries against places between words within them;
-    and for words the least odds that nearly all complete ones have.
+    For each language the threshold with the fewest errors on all that was
+    counted: ends of sentences and entries against places between words
+    within them; and for words the least odds that nearly all complete ones
+    have.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((len(LANGUAGES), 3, _BINS), dtype=np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                for t in batch.slice(k, 200).column(0).to_pylist():
-                    if not t or not t.strip():
-                        continue
-                    inner = [b for b in ending(t)[0][:-1] if b[0] != "heading"]
-                    if not inner:
-                        continue
-                    lang = LANGUAGES.index(_language(t))
-                    codes, kinds, inside, end = _laid_out(inner)
-                    before_space = np.zeros(len(codes), dtype=bool)
-                    before_space[:-1] = (codes[1:] == 32) & inside[:-1] & ~end[:-1]
-                    odds = model.log_odds(_hashes(codes, kinds), kinds, end.astype(np.float32))
-                    bins = np.clip(((odds - _LOW) / (_HIGH - _LOW) * _BINS).astype(int), 0, _BINS - 1)
-                    hist[lang, 1] += np.bincount(bins[end], minlength=_BINS)
-                    hist[lang, 0] += np.bincount(bins[before_space], minlength=_BINS)
-                    _, last = _words(codes, inside)
-                    kinds = np.full_like(kinds, _TYPE["word"])
-                    odds = model.log_odds(_hashes(codes, kinds), kinds, last.astype(np.float32))
-                    bins = np.clip(((odds - _LOW) / (_HIGH - _LOW) * _BINS).astype(int), 0, _BINS - 1)
-                    hist[lang, 2] += np.bincount(bins[last], minlength=_BINS)
-        rows = np.argwhere(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, c].astype(np.int32)) for c in range(3)] + [pa.array(hist[tuple(rows.T)])], names=["lang", "ended", "bin", "n"])
-
+    kind = F.shiftright("context", _SYMBOL * ORDER)
+    word = kind == _TYPE["word"]
+    side = F.when(word & F.col("is_end"), 2).when(word | (kind == _TYPE["heading"]), None).when(F.col("is_end"), 1).when(F.col("spaced"), 0)
+    at = F.when(F.col("is_end"), F.col("odds_end")).otherwise(F.col("odds_on"))
+    place = F.least(F.lit(_BINS - 1), F.greatest(F.lit(0), F.floor((at - _LOW) / (_HIGH - _LOW) * _BINS))).cast("int")
     # languages x 3 x bins rows at most
-    rows = texts.select(text).mapInArrow(run, "lang int, ended int, bin int, n bigint").groupBy("lang", "ended", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = odds.filter("n > 0").select("language", side.alias("side"), place.alias("place"), "n").filter("side is not null").groupBy("language", "side", "place").agg(F.sum("n").alias("n")).collect()
     hist = np.zeros((len(LANGUAGES), 3, _BINS))
     for r in rows:
-        hist[r["lang"], r["ended"], r["bin"]] = r["n"]
+        hist[r["language"], r["side"], r["place"]] = r["n"]
     out = {}
     for i, lang in enumerate(LANGUAGES):
         goes_on, ends, words = hist[i]
@@ -367,11 +437,36 @@ def calibrate(texts: DataFrame, text: str, model: Model) -> dict[str, tuple[floa
         taken = np.concatenate([[goes_on.sum()], goes_on.sum() - np.cumsum(goes_on)]) / goes_on.sum()
         error = missed + taken
         best = np.flatnonzero(error <= error.min() + 1e-4)
-        word = int(np.searchsorted(np.cumsum(words), WORD_MISSED * words.sum()))
-        out[lang] = tuple(float(_LOW + x * (_HIGH - _LOW) / _BINS) for x in (best.mean(), word))
+        least = int(np.searchsorted(np.cumsum(words), WORD_MISSED * words.sum()))
+        out[lang] = tuple(float(_LOW + x * (_HIGH - _LOW) / _BINS) for x in (best.mean(), least))
     return out
 
 
+def _open_words(read: DataFrame) -> DataFrame:
+    """(word, open, open_name) of the words that entries end with: whether an entry goes on after it, by how often it ends one, and for lack of sightings by sentences too.
+
+    ``open_name`` is the answer for names, as any of their words may be a first or a last one.
+    """
+    counted = read.filter("what in ('sentence', 'entry')")
+    entry, sentence = F.col("what") == "entry", F.col("what") == "sentence"
+    sums = [F.coalesce(F.sum(F.when(of, c)), F.lit(0)).alias(name) for name, of, c in (("entry_ends", entry, F.col("ends")), ("entry_on", entry, F.col("n") - F.col("ends")), ("ends", F.lit(True), F.col("ends")), ("goes_on", F.lit(True), F.col("n") - F.col("ends")))]
+    every = counted.agg(*sums).first()
+    asked = read.filter("what = 'record' and word is not null").select("word").distinct()
+    own = asked.join(counted.groupBy("word").agg(*sums), "word", "left").na.fill(0)
+    known = F.col("word").isin(sorted(OPEN_WORDS))
+    if min(every["entry_on"], every["entry_ends"]) < 1:
+        return own.select("word", known.alias("open"), known.alias("open_name"))
+    on, ends = F.col("entry_on") / every["entry_on"], F.col("entry_ends")
+    by_entries = on >= OPEN_RATIO * (ends + OPEN_DOUBT) / every["entry_ends"]
+    # too few sightings in entries: with those in sentences, if the entries do not speak against it
+    by_all = (F.col("goes_on") / every["goes_on"] >= OPEN_RATIO * (F.col("ends") + OPEN_DOUBT) / every["ends"]) & (on >= OPEN_RATIO * ends / every["entry_ends"])
+    return own.select("word", (known | by_entries | by_all).alias("open"), known.alias("open_name"))
+
+
+def _language(text: str) -> str:
+    return detect(text.lower().split())
+
+
 def cut_records(df: DataFrame, key: str = "record_id", text: str = "body_md", at: str = "written_at", source: str = "provider") -> DataFrame:
     """(key, source, language, log_odds, marked, opened, cut) for every record's newest text.
 
@@ -381,45 +476,25 @@ def cut_records(df: DataFrame, key: str = "record_id", text: str = "body_md", at
     ellipsis or the like, which alone is no cut. Null, empty and blank texts
     are not cut and have null odds. Rows tied on ``at`` are taken as
     identical; a null source stays null. Word counts and rounds as stated are
-    not used.
+    not used. The texts are read once; what is joined and added up afterwards
+    are ends of texts and distinct contexts.
     """
-    held = materialize(latest(df.select(key, source, at, text), [key], at).drop(at), "cut-held")
-    model = train(held, text)
-    limits = calibrate(held, text, model)
-    kinds = [held.schema[c].dataType.simpleString() for c in (key, source)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, source, "language", "log_odds", "marked", "opened", "cut"]
-        for batch in batches:
-            rows: list[tuple] = []
-            for t in batch.column(2).to_pylist():
-                if not t or not t.strip():
-                    rows.append((None, None, False, False, False))
-                    continue
-                found, marked, opened = ending(t)
-                if not found:
-                    rows.append((_language(t), None, marked, opened, opened))
-                    continue
-                codes, block_kinds, _, end = _laid_out(found[-1:])
-                kind, block = found[-1]
-                buckets = _hashes(codes, block_kinds)
-                odds = float(model.log_odds(buckets, block_kinds, end.astype(np.float32), kind not in _SENTENCES)[-1])
-                lang = _language(t)
-                closed, word = limits[lang]
-                if (kind == "row" and block.endswith("|")) or (kind == "note" and len(block) > 2 and block[0] == block[-1]):
-                    goes_on = False  # closed by its own mark
-                elif kind in _ENTRIES:
-                    half = model.word_odds(codes)
-                    goes_on = (half is not None and half < word) or block.count("(") > block.count(")") or (half is not None and model.open_word(_LAST_WORD.search(block)[0], kind != "source"))
-                else:
-                    # nothing follows, so neither a comma, a colon nor an abbreviation can be the end
-                    goes_on = odds < closed or (kind == "prose" and (block[-1] in ",;:(" or _ABBREVIATED.search(block) is not None))
-                rows.append((lang, odds, marked, opened, opened or goes_on))
-            types = [pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
-
-    return held.select(key, source, text).mapInArrow(run, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, language string, log_odds double, marked boolean, opened boolean, cut boolean")
+    time = F.coalesce(F.col(at).cast("timestamp"), F.timestamp_seconds(F.lit(-(10**10))))
+    held = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), time.alias("at")).groupBy("key").agg(F.max_by(F.struct("source", "text"), "at").alias("s")).select("key", "s.source", "s.text")
+    read = materialize(_read(held), "cut-read")
+    odds = materialize(_context_odds(read), "cut-odds")
+    limits = _thresholds(odds)
+    final = odds.filter("asked").select("context", "odds").distinct()
+    x = read.filter("what = 'record'").select("key", "source", "language", "kind", "context", "word_context", "marked", "opened", "closed", "unfinished", "unclosed", "word")
+    x = x.join(final.withColumnRenamed("odds", "log_odds"), "context", "left")
+    x = x.join(final.select(F.col("context").alias("word_context"), F.col("odds").alias("word_odds")), "word_context", "left")
+    x = x.join(_open_words(read), "word", "left")
+    low, least = (F.create_map(*[v for lang in LANGUAGES for v in (F.lit(lang), F.lit(limits[lang][i]))])[F.col("language")] for i in (0, 1))
+    kind = F.col("kind")
+    open_end = F.when(kind == _TYPE["source"], F.col("open_name")).otherwise(F.col("open"))
+    entry = F.coalesce(F.col("word_odds") < least, F.lit(False)) | F.col("unclosed") | F.coalesce(open_end, F.lit(False))
+    goes_on = F.when(kind.isNull() | F.col("closed"), False).when(kind.isin([_TYPE[t] for t in _ENTRIES]), entry).otherwise((F.col("log_odds") < low) | F.col("unfinished"))
+    return x.select(F.col("key").alias(key), F.col("source").alias(source), "language", "log_odds", "marked", "opened", (F.col("opened") | goes_on).alias("cut"))
 
 
 def by_source(cuts: DataFrame, source: str = "provider") -> DataFrame:
