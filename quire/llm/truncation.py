@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.language import LANGUAGES, detect
 from quire.session import materialize
@@ -43,6 +43,7 @@ _TYPE = {t: i for i, t in enumerate(TYPES)}
 
 #: What a cut may leave at the end (fixed values).
 _MARK = regex.compile(r"(?:\s*(?:…|\.{3,}|\.\s\.\s\.|\[\s*(?:…|\.{3,}|cut|truncated|continued)\s*\]|\(\s*(?:…|\.{3,}|cut|truncated|continued)\s*\)|<(?:cut|truncated|eos|/s|\|endoftext\|)>?|\\|�+))+\s*$", regex.I)
+_MARK_ENDS = frozenset("…])>\\\ufffd+")
 _OPEN_CITATION = regex.compile(r"\s*\[[^\[\]\n]{0,60}$")
 _CLOSED_CITATION = regex.compile(r"\s*\[p:[a-f0-9-]+\]\s*$")
 #: The end of a sentence that another one follows.
@@ -113,11 +114,11 @@ def ending(text: str) -> tuple[list[tuple[str, str]], bool, bool]:
     """
     body = text.rstrip()
     opened = False
-    m = _OPEN_CITATION.search(body)
+    m = _OPEN_CITATION.search(body, max(0, len(body) - 80)) if "[" in body[-62:] else None
     if m and m[0].lstrip()[:2] in ("[p", "[") or m and regex.match(r"\s*\[p?:", m[0]):
         body, opened = body[: m.start()].rstrip(), True
     bare = body
-    m = _MARK.search(body)
+    m = _MARK.search(body) if body[-1:] in _MARK_ENDS or body.endswith(("...", ". .")) else None
     if m and m.start():
         body = body[: m.start()].rstrip()
     if body.endswith("**") and body.count("**") % 2:
@@ -130,7 +131,7 @@ def ending(text: str) -> tuple[list[tuple[str, str]], bool, bool]:
 
 def _context(kind: str, block: str) -> str:
     """What the model sees of a block: a citation at its end is no part of its sentence."""
-    return _CLOSED_CITATION.sub("", block) or block
+    return (_CLOSED_CITATION.sub("", block) or block) if block.rstrip().endswith("]") else block
 
 
 #: A context is packed in 62 bits: kind of block (4), the last characters (9 each, the last one first), language (2), whether it ends there, whether a space follows.
@@ -359,57 +360,93 @@ def _read(held: DataFrame) -> DataFrame:
     return held.mapInArrow(run, f"key {kinds[0]}, source {kinds[1]}, {_ROW}")
 
 
-def _context_odds(read: DataFrame) -> DataFrame:
-    """(context, language, is_end, spaced, n, asked, odds, odds_end, odds_on) of every context that stands anywhere or that a text ends with.
+def _first_odds(read: DataFrame) -> tuple[float, dict[int, tuple[int, int]]]:
+    """(share of ends among all positions, (positions, ends) by kind and last character): at most 16 x 512 rows."""
+    key = F.col("context")
+    rows = read.filter("what = 'context'").groupBy(F.shiftright(key, _FLAGS + _SYMBOL * (ORDER - 1)).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.when(key.bitwiseAND(2) > 0, F.col("n")).otherwise(0)).alias("e")).collect()
+    return (sum(r["e"] for r in rows) + 0.5) / (sum(r["n"] for r in rows) + 1.0), {r["k"]: (r["n"], r["e"]) for r in rows}
 
-    ``odds`` (natural logarithm) that a block of the kind ends after these
-    characters rather than goes on: the share of ends among all sightings,
-    each shorter context standing in for sightings the longer one lacks.
-    ``odds_end`` and ``odds_on`` are those for one of the sightings itself, an
-    end or none, without its own count.
+
+def _nearer(p: np.ndarray, e: np.ndarray, t: np.ndarray, own_end: int, own: int) -> np.ndarray:
+    """The share of ends after a longer context, where ``p`` is that of the shorter one, without a sighting's own count."""
+    e = np.maximum(0.0, e - own_end)
+    t = np.maximum(e, t - own)
+    return (e + BACKOFF * p) / (t + BACKOFF)
+
+
+def _odds(key: np.ndarray, n: np.ndarray, base: float, first: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(odds, odds without the own count) that a block ends after each of some sorted contexts rather than goes on (natural logarithms).
+
+    The share of ends among all sightings; each shorter context stands in for
+    sightings the longer one lacks. All contexts with the same last two
+    characters have to be there.
+    """
+    end = key >> 1 & 1
+    ends = n * end
+    k1 = key >> _FLAGS + _SYMBOL * (ORDER - 1)
+    t1, e1 = (np.array([first.get(k, (0, 0))[i] for k in k1[np.flatnonzero(np.diff(k1, prepend=-1))].tolist()]) for i in (0, 1))
+    place = np.cumsum(np.diff(k1, prepend=-1) != 0) - 1
+    p, q = _nearer(base, e1[place], t1[place], 0, 0), _nearer(base, e1[place], t1[place], end, 1)
+    sentence = np.isin(key >> _FLAGS + _SYMBOL * ORDER, _BY_SENTENCE)
+    for order in range(2, ORDER + 1):
+        k = key >> _FLAGS + _SYMBOL * (ORDER - order)
+        starts = np.flatnonzero(np.diff(k, prepend=-1))
+        place = np.cumsum(np.diff(k, prepend=-1) != 0) - 1
+        t, e = np.add.reduceat(n, starts)[place], np.add.reduceat(ends, starts)[place]
+        longer, other = _nearer(p, e, t, 0, 0), _nearer(q, e, t, end, 1)
+        p, q = (longer, other) if order <= SENTENCE_ORDER else (np.where(sentence, p, longer), np.where(sentence, q, other))
+    p, q = np.clip(p, 1e-7, 1 - 1e-7), np.clip(q, 1e-7, 1 - 1e-7)
+    return np.log(p / (1 - p)), np.log(q / (1 - q))
+
+
+def _scored(read: DataFrame) -> DataFrame:
+    """Rows (context, odds) of the contexts that texts end with, and rows (language, side, place, n) that count those of all others by their odds.
+
+    ``side`` is 1 for ends of sentences and entries, 0 for places between
+    words within them, 2 for ends of words; ``place`` is the bin of the odds
+    without the own count. Every task has added up its own contexts; all that
+    share their last two characters meet in one partition, where memory grows
+    with the distinct ones.
     """
-    whole = F.col("key")
-    prefix = [F.shiftright(whole, _FLAGS + _SYMBOL * (ORDER - n)) for n in range(ORDER + 1)]
-    rows = read.filter("what = 'context'").select(F.col("context").alias("key"), "n", F.lit(False).alias("asked"))
+    base, first = _first_odds(read)
     finals = read.filter("what = 'record' and context is not null")
-    asked = finals.select(F.explode(F.array("context", "word_context")).alias("c")).filter("c is not null").select(F.shiftleft("c", _FLAGS).alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")).distinct()
-    # every task has added up its own; all that shares the last characters of a sentence's context meets in one partition
-    every = rows.unionByName(asked).withColumn("k4", prefix[SENTENCE_ORDER]).repartition("k4").groupBy("k4", "key").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    every = every.withColumn("is_end", whole.bitwiseAND(2) > 0)
-    every = every.withColumn("e", F.when(F.col("is_end"), F.col("n")).otherwise(0))
-    t, e = F.sum("n"), F.sum("e")
-    shorter = every.groupBy(prefix[3].alias("k3")).agg(t.alias("t3"), e.alias("e3"))
-    by = {3: shorter}
-    for n in (2, 1):
-        longer = by[n + 1]
-        by[n] = longer.groupBy(F.shiftright(f"k{n + 1}", _SYMBOL).alias(f"k{n}")).agg(F.sum(f"t{n + 1}").alias(f"t{n}"), F.sum(f"e{n + 1}").alias(f"e{n}"))
-    total = read.filter("what = 'context'").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("context").bitwiseAND(2) > 0, F.col("n"))).alias("e")).first()
-    base = F.lit(((total["e"] or 0) + 0.5) / ((total["n"] or 0) + 1.0))
-
-    def nearer(p: Column, e: Column, t: Column, own_end: float, own: float) -> Column:
-        e = F.greatest(F.lit(0.0), e - own_end)
-        t = F.greatest(e, t - own)
-        return (e + BACKOFF * p) / (t + BACKOFF)
-
-    ways = {"odds": (0.0, 0.0), "odds_end": (1.0, 1.0), "odds_on": (0.0, 1.0)}
-    # few rows: one a pair of characters at most, then one for three
-    low = by[1].select("k1", *[nearer(base, F.col("e1"), F.col("t1"), *o).alias(w) for w, o in ways.items()])
-    for n in (2, 3):
-        k = F.shiftright(f"k{n}", _SYMBOL)
-        low = by[n].withColumn(f"k{n - 1}", k).join(low, f"k{n - 1}").select(f"k{n}", *[nearer(F.col(w), F.col(f"e{n}"), F.col(f"t{n}"), *o).alias(w) for w, o in ways.items()])
-    x = every.withColumn("k5", prefix[5]).withColumn("k6", prefix[6]).withColumn("k3", prefix[3])
-    for n in (6, 5, 4):
-        w = Window.partitionBy(*[f"k{i}" for i in range(SENTENCE_ORDER, n + 1)])
-        x = x.withColumn(f"t{n}", F.sum("n").over(w)).withColumn(f"e{n}", F.sum("e").over(w))
-    x = x.join(low, "k3")
-    sentence = F.shiftright("k6", _SYMBOL * ORDER).isin(_BY_SENTENCE)
-    for n in (4, 5, 6):
-        x = x.withColumns({w: nearer(F.col(w), F.col(f"e{n}"), F.col(f"t{n}"), *o) if n <= SENTENCE_ORDER else F.when(sentence, F.col(w)).otherwise(nearer(F.col(w), F.col(f"e{n}"), F.col(f"t{n}"), *o)) for w, o in ways.items()})
-    odds = {w: F.log(F.least(F.greatest(F.col(w), F.lit(1e-7)), F.lit(1 - 1e-7)) / (1 - F.least(F.greatest(F.col(w), F.lit(1e-7)), F.lit(1 - 1e-7)))) for w in ways}
-    return x.select(F.col("k6").alias("context"), F.shiftright("key", 2).bitwiseAND(3).cast("int").alias("language"), "is_end", (whole.bitwiseAND(1) > 0).alias("spaced"), "n", "asked", *[c.alias(w) for w, c in odds.items()])
-
-
-def _thresholds(odds: DataFrame) -> dict[str, tuple[float, float]]:
+    asked = finals.select(F.explode(F.array("context", "word_context")).alias("c")).filter("c is not null").distinct()
+    rows = read.filter("what = 'context'").select("context", "n").unionByName(asked.select(F.shiftleft("c", _FLAGS).alias("context"), F.lit(0).cast("bigint").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = limit = 0
+
+        for batch in batches:
+            n = batch.column(1)
+            held.append(pa.table({"k": batch.column(0), "n": n, "least": n}))
+            size += batch.num_rows
+            if size > HELD + 2 * limit:
+                t = pa.concat_tables(held).group_by("k").aggregate([("n", "sum"), ("least", "min")]).rename_columns(["k", "n", "least"])
+                held, size, limit = [t], len(t), len(t)
+        if not size:
+            return
+        t = pa.concat_tables(held).group_by("k").aggregate([("n", "sum"), ("least", "min")]).sort_by("k")
+        key, n, least = (t[c].to_numpy() for c in ("k", "n_sum", "least_min"))
+        odds, other = _odds(key, n, base, first)
+        want = least == 0
+        kind, lang, end, spaced = key >> _FLAGS + _SYMBOL * ORDER, key >> 2 & 3, key >> 1 & 1, key & 1
+        word = kind == _TYPE["word"]
+        side = np.where(word, np.where(end == 1, 2, 3), np.where(kind == _TYPE["heading"], 3, np.where(end == 1, 1, np.where(spaced == 1, 0, 3))))
+        place = np.clip((other - _LOW) / (_HIGH - _LOW) * _BINS, 0, _BINS - 1).astype(np.int64)
+        hist = np.bincount((lang * 4 + side) * _BINS + place, weights=n, minlength=16 * _BINS)
+        hit = np.flatnonzero(hist)
+        hit = hit[hit // _BINS % 4 != 3]
+        names = ["context", "odds", "language", "side", "place", "n"]
+        some = int(want.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(key[want] >> _FLAGS), pa.array(odds[want])] + [pa.nulls(some, pa.int32())] * 3 + [pa.nulls(some, pa.int64())], names=names)
+        numbers = [pa.array(x.astype(np.int32)) for x in (hit // _BINS // 4, hit // _BINS % 4, hit % _BINS)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(hit), pa.int64()), pa.nulls(len(hit), pa.float64()), *numbers, pa.array(hist[hit].astype(np.int64))], names=names)
+
+    return rows.repartition(F.shiftright("context", _FLAGS + _SYMBOL * (ORDER - 2))).mapInArrow(run, "context bigint, odds double, language int, side int, place int, n bigint")
+
+
+def _thresholds(scored: DataFrame) -> dict[str, tuple[float, float]]:
     """(threshold for sentences and closed entries, for words) of each language.
 
     For each language the threshold with the fewest errors on all that was
@@ -417,13 +454,8 @@ def _thresholds(odds: DataFrame) -> dict[str, tuple[float, float]]:
     within them; and for words the least odds that nearly all complete ones
     have.
     """
-    kind = F.shiftright("context", _SYMBOL * ORDER)
-    word = kind == _TYPE["word"]
-    side = F.when(word & F.col("is_end"), 2).when(word | (kind == _TYPE["heading"]), None).when(F.col("is_end"), 1).when(F.col("spaced"), 0)
-    at = F.when(F.col("is_end"), F.col("odds_end")).otherwise(F.col("odds_on"))
-    place = F.least(F.lit(_BINS - 1), F.greatest(F.lit(0), F.floor((at - _LOW) / (_HIGH - _LOW) * _BINS))).cast("int")
     # languages x 3 x bins rows at most
-    rows = odds.filter("n > 0").select("language", side.alias("side"), place.alias("place"), "n").filter("side is not null").groupBy("language", "side", "place").agg(F.sum("n").alias("n")).collect()
+    rows = scored.filter("side is not null").groupBy("language", "side", "place").agg(F.sum("n").alias("n")).collect()
     hist = np.zeros((len(LANGUAGES), 3, _BINS))
     for r in rows:
         hist[r["language"], r["side"], r["place"]] = r["n"]
@@ -482,9 +514,9 @@ def cut_records(df: DataFrame, key: str = "record_id", text: str = "body_md", at
     time = F.coalesce(F.col(at).cast("timestamp"), F.timestamp_seconds(F.lit(-(10**10))))
     held = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), time.alias("at")).groupBy("key").agg(F.max_by(F.struct("source", "text"), "at").alias("s")).select("key", "s.source", "s.text")
     read = materialize(_read(held), "cut-read")
-    odds = materialize(_context_odds(read), "cut-odds")
-    limits = _thresholds(odds)
-    final = odds.filter("asked").select("context", "odds").distinct()
+    scored = materialize(_scored(read), "cut-odds")
+    limits = _thresholds(scored)
+    final = scored.filter("context is not null").select("context", "odds")
     x = read.filter("what = 'record'").select("key", "source", "language", "kind", "context", "word_context", "marked", "opened", "closed", "unfinished", "unclosed", "word")
     x = x.join(final.withColumnRenamed("odds", "log_odds"), "context", "left")
     x = x.join(final.select(F.col("context").alias("word_context"), F.col("odds").alias("word_odds")), "word_context", "left")
