@@ -137,7 +137,7 @@ def _context(kind: str, block: str) -> str:
 #: A context is packed in 62 bits: kind of block (4), the last characters (9 each, the last one first), language (2), whether it ends there, whether a space follows.
 _SYMBOL, _FLAGS = 9, 4
 #: Characters laid out at once, and distinct contexts and words a task holds before it passes them on.
-CHUNK, HELD = 1_000_000, 1_000_000
+CHUNK, HELD = 200_000, 1_000_000
 
 
 def _symbols() -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +172,12 @@ def _laid_out(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.
     for (kind, _), t, stop in zip(found, texts, stops.tolist()):
         if kind in _SENTENCES:
             for m in _SENTENCE_END.finditer(t):
-                if t[m.start()] == "." and _ABBREVIATED.search(t, max(0, m.start() - 8), m.end()):
+                at = m.start()
+                # no abbreviation has seven letters
+                if t[at] == "." and not t[at - 7 : at].isalpha() and _ABBREVIATED.search(t, max(0, at - 8), m.end()):
                     continue
                 # the quotation marks and brackets after it are part of the end
-                end[stop - len(t) + m.start() : stop - len(t) + m.end()] = True
+                end[stop - len(t) + at : stop - len(t) + m.end()] = True
             m = _FINAL.search(t, max(0, len(t) - 16))
             if m:
                 end[stop - len(m[0]) : stop] = True
@@ -193,9 +195,9 @@ class Counts:
         #: How often a token stands in sentences, in entries, at the end of a sentence without a mark, and of an entry.
         self.tokens: tuple[Counter, Counter, Counter, Counter] = (Counter(), Counter(), Counter(), Counter())
 
-    def packed(self, codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def packed(symbols: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Kind and last characters of each position."""
-        symbols = self.table[np.minimum(codes, 0x10000)]
         key = kinds.astype(np.int64) << _SYMBOL * ORDER
         for n in range(ORDER):
             key[n:] |= symbols[: len(symbols) - n] << _SYMBOL * (ORDER - 1 - n)
@@ -205,7 +207,9 @@ class Counts:
         """(the packed last context of a block, the same as that of a word, None where no letter is last)."""
         tail = "\x02" * ORDER + _context(kind, block)
         codes = np.frombuffer(tail[-ORDER:].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        key = int(self.packed(codes, np.full(ORDER, _TYPE[kind]))[-1])
+        key = _TYPE[kind] << _SYMBOL * ORDER
+        for n, symbol in enumerate(self.table[np.minimum(codes, 0x10000)].tolist()):
+            key |= symbol << _SYMBOL * n
         return key, (key & ((1 << _SYMBOL * ORDER) - 1) | _TYPE["word"] << _SYMBOL * ORDER if tail[-1].isalpha() else None)
 
     def add(self, found: list[tuple[str, str]], final: list[int], langs: list[int]) -> None:
@@ -221,13 +225,14 @@ class Counts:
                 end[k] = inside[k] = False
                 k -= 1
         lang = np.repeat(np.array(langs, dtype=np.int64), lens)
-        letter = self.letters[self.table[np.minimum(codes, 0x10000)]] & inside
+        symbols = self.table[np.minimum(codes, 0x10000)]
+        letter = self.letters[symbols] & inside
         follows = np.full(len(codes), 2)
         follows[:-1] = np.where(letter[1:], 0, np.where((codes[1:] == 32) & inside[1:], 1, 2))
-        for a in range(0, len(codes), CHUNK):
-            b = a + CHUNK
+        for a in range(0, len(codes), 2 * CHUNK):
+            b = a + 2 * CHUNK
             begin = max(0, a - ORDER)
-            key = self.packed(codes[begin:b], kinds[begin:b])[a - begin :]
+            key = self.packed(symbols[begin:b], kinds[begin:b])[a - begin :]
             self._count((key << 5 | lang[a:b] << 3 | end[a:b].astype(np.int64) << 2 | follows[a:b])[inside[a:b]])
         for i, (kind, block) in enumerate(found):
             entry = kind in _ENTRIES
