@@ -9,7 +9,7 @@ look in the corpus at hand comes from the letter pairs of all its texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,17 @@ def pair_surprise(counts: dict[int, int]) -> np.ndarray:
     return -np.log2((n + 0.02) / (n.sum(axis=1, keepdims=True) + 0.02 * _A))
 
 
+def pair_bits(surprise: np.ndarray) -> Callable[[str], float]:
+    """The surprise in bits of all letter pairs of a lower-case word together, its ends included."""
+    table = surprise.tolist()
+
+    def of(word: str) -> float:
+        ids = [0, *(_INDEX.get(c, 0) for c in word), 0]
+        return sum(table[a][b] for a, b in zip(ids, ids[1:]))
+
+    return of
+
+
 def letter_pairs(texts: DataFrame, text: str = "text") -> np.ndarray:
     """Surprise in bits of every letter pair, word ends included, over all texts; as large as the alphabet squared."""
 

@@ -2,31 +2,34 @@
 
 One pass over all texts counts words; frequent ones are the vocabulary, whose
 size is bounded by the least share a word must have. Every text is then
-decoded against it as a stream of words without lines: the cheapest of all
-ways to read it, where words may be divided by hyphens, line ends or spaces,
-may run together and may hold confused characters. Lines that may be running
+decoded against it as a stream of characters without lines: the cheapest of
+all ways to read it as words, which may be divided by hyphens, line ends or
+spaces, may run together and may hold confused characters, however many. Lines that may be running
 heads are compared with the titles of the book and the section by a join, so
 that texts need not move.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.language import ALL_FUNCTION_WORDS
-from quire.llm.quality import Profiler, count_pairs, pair_surprise, pair_table
+from quire.llm.quality import Profiler, count_pairs, pair_bits, pair_surprise, pair_table
 from quire.session import materialize
 
 #: A word of the vocabulary makes up this share of all words and stands this often; so there are at most 1 / share words.
 LEAST_SHARE, LEAST_COUNT = 2e-6, 3
-#: A word this many times rarer than one it may be misread for is taken for misread.
+#: A word of common letter pairs that is this many times rarer than one it may be misread for is taken for misread; each bit by which its pairs are less common halves the number.
 MISREAD_RATIO = 60
 #: What is printed on the left may stand for what was on the right (fixed values), in words of mixed or lower case and in words of upper case (given in lower case).
 CONFUSIONS = [("c", "e"), ("f", "t"), ("|", "i"), ("|", "l"), ("@", "a"), ("5", "s"), ("0", "o"), ("1", "l"), ("1", "i"), ("9", "g"), ("6", "b"), ("8", "b"), ("$", "s"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("b", "h"), ("l", "t"), ("h", "li"), ("m", "rn"), ("!", "l")]
@@ -36,6 +39,8 @@ DIGITS = str.maketrans("lIiOoSsbBgqZz", "1110055689922"[:13])
 HYPHENS = "-\xad¬‐"
 #: Costs (natural logarithms) of reading a text: a word the vocabulary lacks and each of its characters, so that it is dearer than any that is there; confused characters; a number.
 UNKNOWN, UNKNOWN_CHAR, CONFUSED, NUMBER = 10.0, 1.4, 1.0, 6.0
+#: Every further confusion within a word.
+CONFUSED_AGAIN = 2.0
 #: A hyphen left at a word's end, one taken out, a line end or a space within a word, a space lost between two words.
 DANGLING, HYPHENATED, LINE_END, SPACE, LOST_SPACE = 12.0, 1.0, 11.0, 13.0, 11.0
 
@@ -60,7 +65,10 @@ def norm(text: str) -> str:
 def vocabulary(df: DataFrame, text: str = "text") -> tuple[dict[str, int], dict[int, int]]:
     """(words in lower case with their counts, letter pairs with theirs), over all texts.
 
-    Each task counts its own words first. Pieces of divided words are left out.
+    Each task counts its own words first. Pieces of divided words are left
+    out, and so are words that are misread ones by their counts. Beside the
+    frequent words there are those rarer ones that a frequent one is within
+    reach of, so that size does not make a word misread.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +107,38 @@ def vocabulary(df: DataFrame, text: str = "text") -> tuple[dict[str, int], dict[
     least = max(LEAST_COUNT, int(total * LEAST_SHARE))
     # at most 1 / LEAST_SHARE words, and a fixed number of pairs
     rows = counted.filter(is_pair | (F.col("n") >= least)).collect()
-    return {r["word"]: r["n"] for r in rows if r["word"][0] != "\0"}, {int(r["word"][1:]): r["n"] for r in rows if r["word"][0] == "\0"}
+    pairs = {int(r["word"][1:]): r["n"] for r in rows if r["word"][0] == "\0"}
+    words = Decoder({r["word"]: r["n"] for r in rows if r["word"][0] != "\0"}, pairs).words
+    if least > LEAST_COUNT:
+        shared = df.sparkSession.sparkContext.broadcast((words, pairs))
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            decoder = Decoder(*shared.value, cleaned=True)
+            for batch in batches:
+                got = [decoder.stands(w, n) for w, n in zip(*(c.to_pylist() for c in batch.columns))]
+                yield batch.filter(pa.array(got, pa.bool_()))
+
+        # rarer words that might be misread for one of the vocabulary, but stand too often for that, are words of their own
+        rare = counted.filter(~is_pair & (F.col("n") >= LEAST_COUNT) & (F.col("n") < least)).mapInArrow(kept, "word string, n bigint")
+        words |= {r["word"]: r["n"] for r in rare.collect()}
+    return words, pairs
 
 
 _DIVIDED = regex.compile(r"\S*\p{L}[-\xad¬‐]\s+\S+")
 
 
+def _by_first(rules: list[tuple[str, str]]) -> dict[str, tuple[tuple[str, str], ...]]:
+    return {c: tuple(r for r in rules if r[0][0] == c) for c in {r[0][0] for r in rules}}
+
+
+_RULES, _CAPITAL_RULES = _by_first(CONFUSIONS), _by_first(CAPITAL_CONFUSIONS)
+
+
+def _confusable(low: str) -> bool:
+    """Whether a string is looked up as misread: three characters, or two of which the first is a sign or figure for a letter. A single one tells nothing."""
+    return len(low) > 2 or (len(low) == 2 and not low[0].isalpha() and low[1].isalpha() and not regex.fullmatch(r"\d[eoasd]", low))
+
+
 def core(token: str) -> tuple[str, str, str]:
     """(marks before, word, marks after)."""
     w = token.strip(_CORE)
@@ -121,19 +155,22 @@ def core(token: str) -> tuple[str, str, str]:
 class Decoder:
     """Best words for strings that are none, by the vocabulary."""
 
-    def __init__(self, words: dict[str, int], cleaned: bool = False):
+    def __init__(self, words: dict[str, int], pairs: dict[int, int], cleaned: bool = False):
         """``cleaned``: the words come from a decoder that has left out the misread ones."""
         self.words = words if cleaned else dict(words)
         self.memo: dict[str, str | None] = {}
         self.apart: dict[str, tuple[float, str, bool] | None] = {}
-        for w in () if cleaned else sorted(words, key=lambda w: (-words[w], w)):
-            if len(w) < 3 or w.isdigit():
-                continue
-            for c in self._variants(w, False):
-                if words.get(c, 0) >= MISREAD_RATIO * words[w]:
-                    self.words.pop(w, None)
-                    break
-        self.total = log(sum(self.words.values()) or 1)
+        self.bits = pair_bits(pair_surprise(pairs))
+        self.order = sorted(words)
+        self.total = log(sum(words.values()) or 1)
+        if not cleaned:
+            for w in words:
+                if not w.isdigit() and not self.stands(w, words[w]):
+                    del self.words[w]
+            self.order = sorted(self.words)
+            self.total = log(sum(self.words.values()) or 1)
+        #: No string longer than this reads as a word, since a character is misread for two at most.
+        self.longest = 2 * max(map(len, self.words), default=0)
         #: The least cost of a word of so many characters or more.
         self.least = [float("inf")] * 42
         for w, n in self.words.items():
@@ -142,45 +179,40 @@ class Decoder:
         for k in range(40, -1, -1):
             self.least[k] = min(self.least[k], self.least[k + 1])
 
+    def stands(self, word: str, n: int) -> bool:
+        """Whether a word that stands ``n`` times is one of its own, not a misread one: no word it may be misread for stands so many times more often."""
+        if not _confusable(word):
+            return True
+        for v, _ in self.confused(word, False):
+            # signs and figures make no word
+            ratio = MISREAD_RATIO / 2 ** max(0.0, self.bits(word) - self.bits(v)) if word.isalpha() else 1.0
+            if self.words.get(v, 0) >= max(1.5, ratio) * n:
+                return False
+        return True
+
+    def confused(self, low: str, caps: bool) -> Iterator[tuple[str, int]]:
+        """(word of the vocabulary, number of confusions) of all that a string may have been misread for, however many places are confused."""
+        rules = _CAPITAL_RULES if caps else _RULES
+        order, n = self.order, len(self.order)
+        stack = [(0, "", 0)]
+        while stack:
+            i, built, k = stack.pop()
+            if i == len(low):
+                if k and built in self.words:
+                    yield built, k
+                continue
+            for seen, meant in ((low[i], low[i]), *rules.get(low[i], ())):
+                if low.startswith(seen, i):
+                    more = built + meant
+                    at = bisect_left(order, more)
+                    # only beginnings of words lead on
+                    if at < n and order[at].startswith(more):
+                        stack.append((i + len(seen), more, k + (seen != meant)))
+
     def known(self, word: str) -> bool:
         low = word.lower()
         return low in self.words or ("-" in low and all(p in self.words for p in low.split("-") if p))
 
-    @staticmethod
-    def _variants(low: str, caps: bool) -> Iterator[str]:
-        """Strings a few confusions away: any places of one, then up to three of different ones."""
-        rules = CAPITAL_CONFUSIONS if caps else CONFUSIONS
-        rules = [r for r in rules if r[0] in low]
-        steps = []
-        for seen, meant in rules:
-            places, i = [], low.find(seen)
-            while i >= 0:
-                places.append(i)
-                i = low.find(seen, i + 1)
-            steps += [(i, seen, meant) for i in places]
-            places = places[:8]
-            for mask in range(1, 1 << len(places)):
-                out, last = [], 0
-                for b, i in enumerate(places):
-                    if mask >> b & 1 and i >= last:
-                        out += [low[last:i], meant]
-                        last = i + len(seen)
-                yield "".join(out) + low[last:]
-        steps.sort()
-        if len(steps) < 2 or len(steps) > 24:
-            return
-        for a in range(len(steps)):
-            for b in range(a + 1, len(steps)):
-                i, s1, m1 = steps[a]
-                j, s2, m2 = steps[b]
-                if j < i + len(s1):
-                    continue
-                head = low[:i] + m1 + low[i + len(s1) : j] + m2
-                yield head + low[j + len(s2) :]
-                for k, s3, m3 in steps[b + 1 :]:
-                    if k >= j + len(s2):
-                        yield head + low[j + len(s2) : k] + m3 + low[k + len(s3) :]
-
     def repair(self, word: str) -> str | None:
         """The word it was misread from, or None where it is a word or none is near."""
         if word in self.memo:
@@ -192,7 +224,7 @@ class Decoder:
 
     def _repair(self, word: str) -> str | None:
         low = word.lower()
-        if len(low) < 3 or len(low) > 40 or self.known(word):
+        if self.known(word) or not _confusable(low):
             return None
         if sum(c.isdigit() for c in word) >= 2 and not word.isdigit():
             plain = word.translate(DIGITS)
@@ -201,11 +233,11 @@ class Decoder:
         if not any(c.isalpha() for c in word):
             return None
         caps = sum(c.isupper() for c in word) > 0.5 * sum(c.isalpha() for c in word) and len(word) > 2 and not word[1:].islower()
-        best, most = None, 0
-        for v in self._variants(low, caps):
-            n = self.words.get(v, 0)
-            if n > most and len(v) > 2:
-                best, most = v, n
+        # of all readings the cheapest, if it is cheaper than a word that nobody knows
+        costs = [(self.cost(v) + CONFUSED + CONFUSED_AGAIN * (k - 1), v) for v, k in self.confused(low, caps) if len(v) > 2 or len(low) == 2]
+        paid, best = min(costs, default=(0.0, None))
+        if best and paid >= self.cost(word):
+            best = None
         if best is None and "-" in low:
             parts = low.split("-")
             fixed = [p if p in self.words else self._repair(p) or "" for p in parts]
@@ -262,7 +294,7 @@ class Decoder:
             # the cheapest reading of each beginning, by whether its last word is a function word and one was misread
             best: dict[tuple[int, bool, bool], tuple[float, str]] = {(0, True, False): (-LOST_SPACE, "")}
             for j in range(1, len(word) + 1):
-                for i in range(j):
+                for i in range(max(0, j - self.longest), j):
                     before = [(last, wrong, *best[i, last, wrong]) for last in (True, False) for wrong in (True, False) if (i, last, wrong) in best]
                     if not before:
                         continue
@@ -451,35 +483,39 @@ def head_line(line: str) -> list[tuple[str, str]]:
     return out
 
 
-def heads_within(text: str, titles: bool) -> list[tuple[str, str]]:
-    """(how, normal form) of parts of running text that may be running heads: in capitals, spaced, and with ``titles`` as titles."""
-    out: list[tuple[str, str]] = []
+def heads_within(text: str, titles: bool) -> list[tuple[str, str, int, int]]:
+    """(how, normal form, start, end) of parts of running text that may be running heads: in capitals, spaced, and with ``titles`` as titles."""
+    out: list[tuple[str, str, int, int]] = []
     if _CAP_PAIR.search(text):
         if "  " in text:
             for m in _SPACED.finditer(text):
                 if len(m[0]) >= 7:
-                    out.append(("caps", norm(m[0])))
+                    out.append(("caps", norm(m[0]), *m.span()))
         for m in _CAPS.finditer(text):
             if _letters(m[0])[0] >= 5:
-                out.append(("caps", norm(m[0])))
+                out.append(("caps", norm(m[0]), *m.span()))
     if titles:
         for m in _TITLE_RUN.finditer(text):
             words = m[0].split()
             if len(m[0]) < 7 or (len(words) == 2 and words[0].lower() in ALL_FUNCTION_WORDS):
                 continue
             if _PAGE_AFTER.match(text, m.end()) or _PAGE_BEFORE.search(text[max(0, m.start() - 12) : m.start()]):
-                out.append(("numbered", norm(m[0])))
+                out.append(("numbered", norm(m[0]), *m.span()))
             else:
                 before = text[max(0, m.start() - 24) : m.start()].split()
-                out.append(("led" if before and before[-1].lower() in _LEADS_TITLE else "title", norm(m[0])))
+                out.append(("led" if before and before[-1].lower() in _LEADS_TITLE else "title", norm(m[0]), *m.span()))
     return out
 
 
+#: A candidate for a running head: how it was met, its normal form, its place in the text, whether it holds misread words.
+Head = tuple[str, str, int, bool]
+
+
 class Scanner:
     """Damage of one text, and its lines as they would be read; ``words`` are those of a decoder."""
 
     def __init__(self, words: dict[str, int], pairs: dict[int, int]):
-        self.decoder = Decoder(words, cleaned=True)
+        self.decoder = Decoder(words, pairs, cleaned=True)
         self.profiler = Profiler(pair_surprise(pairs))
         self.fine: set[str] = set()
 
@@ -499,50 +535,52 @@ class Scanner:
                 out.append(w)
         return out
 
-    def damage(self, text: str, first: int | None, last: int | None) -> tuple[list[str], list[tuple[str, str]]]:
-        """(kinds of damage, head candidates) of a text, as if it were prose."""
+    def _misread(self, text: str) -> bool:
+        return any(w[-1] not in HYPHENS and self.decoder.repair(w) for w in self._odd(text.split()))
+
+    def damage(self, text: str, first: int | None, last: int | None) -> tuple[list[str], list[Head]]:
+        """(kinds of damage, head candidates) of a text, as if it were prose.
+
+        The words of a candidate are not among those that make the text a
+        misread one; it tells itself whether it holds such words.
+        """
         tokens = text.split()
         if not tokens:
             return [], []
         lines = [x for x in text.splitlines() if x.strip()]
         several = len(lines) > 1
         found: set[str] = set()
-        heads: list[tuple[str, str]] = []
-        body = lines
-        if several:
-            body = []
-            for line in lines:
-                number = page_number(line, first, last) if len(line) < 60 else None
-                if number:
+        heads: list[Head] = []
+        body: list[str] = []
+        place = 0
+        for line in lines:
+            if several:
+                if len(line) < 60 and page_number(line, first, last):
                     found.add("page_number")
-                    if not number.isdigit() and (any(c.isdigit() for c in number) or number in "lI"):
-                        found.add("misread")
                     continue
-                c = head_line(line)
-                heads += c
-                if not c:
-                    body.append(line)
-        for line in body:
-            heads += heads_within(line, not several)
+                whole_line = head_line(line)
+                if whole_line:
+                    place += 1
+                    bad = self._misread(line)
+                    heads += [(how, form, place, bad) for how, form in whole_line]
+                    continue
+            kept, upto = "", 0
+            for how, form, a, b in heads_within(line, not several):
+                place += 1
+                bad = how == "caps" and self._misread(line[a:b])
+                heads.append((how, form, place, bad))
+                if bad and a >= upto:
+                    kept, upto = f"{kept}{line[upto:a]} ", b
+            body.append(kept + line[upto:])
         # the last token of a text without an end may be half a word
-        whole = tokens[-1][-1] in ".!?…:;,)\"'”’»"
-        if len(body) < len(lines):
-            own = [x.split() for x in body]
-            left = Counter(tokens)
-            left.subtract(t for x in own for t in x)
-            for w in self._odd([t for t, c in left.items() if c > 0 and (whole or t != tokens[-1])]):
-                if w[-1] not in HYPHENS and self.decoder.repair(w):
-                    found.add("misread")
-                    break
-            half = -1 if whole or not body or body[-1] is not lines[-1] else sum(map(len, own)) - 1
-        else:
-            own = [x.split() for x in lines] if several else [tokens]
-            half = -1 if whole else len(tokens) - 1
-        for _, kinds in self._read(own, half, True):
+        own = [x.split() for x in body]
+        open_end = tokens[-1][-1] not in ".!?…:;,)\"'”’»" and own and own[-1] and own[-1][-1] == tokens[-1]
+        half = sum(map(len, own)) - 1 if open_end else -1
+        for _, kinds in self._read(own, half, True) if own else []:
             found.update(kinds)
         return sorted(found), heads
 
-    def damages(self, rows: list[tuple[str | None, int | None, int | None]]) -> list[tuple[list[str], list[tuple[str, str]]]]:
+    def damages(self, rows: list[tuple[str | None, int | None, int | None]]) -> list[tuple[list[str], list[Head]]]:
         """``damage`` of each text that is prose; nothing for the others."""
         out = [self.damage(*r) if r[0] else ([], []) for r in rows]
         check = [i for i, (found, heads) in enumerate(out) if found or heads]
@@ -620,14 +658,15 @@ def paragraphs_of(lines: list[str]) -> list[list[str]]:
         short = len(a) < 0.7 * width
         split.append(1.0 + (0 if ends else 3.0) + (3.0 if small else 0) + (0 if short else 1.5) - (3.5 if gap else 0))
         joined.append((2.0 if gap and ends and not small else 0.0) + (1.5 if ends and short and not small else 0.0))
+    # joining costs add up, so the best beginning for all later ends is a running least
+    best, at, run = float("inf"), 0, 0.0
     for j in range(1, n + 1):
-        cost[j] = float("inf")
-        run = 0.0
-        for i in range(j - 1, max(-1, j - 400), -1):
-            c = cost[i] + (split[i] if i else 0.0) + run
-            if c < cost[j]:
-                cost[j], back[j] = c, i
-            run += joined[i] if i else 0.0
+        i = j - 1
+        run += joined[i]
+        c = cost[i] + split[i] - run
+        if c <= best:
+            best, at = c, i
+        cost[j], back[j] = best + run, at
     cuts, j = [], n
     while j > 0:
         cuts.append((back[j], j))
@@ -635,22 +674,36 @@ def paragraphs_of(lines: list[str]) -> list[list[str]]:
     return [[s for s, _ in rows[i:j]] for i, j in reversed(cuts)]
 
 
-def _scan(paragraphs: DataFrame, words: dict[str, int], pairs: dict[int, int]) -> DataFrame:
+_HEADS = "array<struct<how: string, form: string, place: int, bad: boolean>>"
+#: The scanner of this worker process, by the name its words were sent under; so its memory of words outlives a task.
+_SCANNERS: dict[str, Scanner] = {}
+Shared = tuple[str, Broadcast]
+
+
+def _scanner(shared: Shared) -> Scanner:
+    name, words = shared
+    if name not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[name] = Scanner(*words.value)
+    return _SCANNERS[name]
+
+
+def _scan(paragraphs: DataFrame, shared: Shared) -> DataFrame:
     """Damage and head candidates of every row: (record_id, at, book_slug, section_pos, noise, heads)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(words, pairs)
-        head = pa.list_(pa.struct([("how", pa.string()), ("form", pa.string())]))
+        scanner = _scanner(shared)
+        head = pa.list_(pa.struct([("how", pa.string()), ("form", pa.string()), ("place", pa.int32()), ("bad", pa.bool_())]))
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 got = scanner.damages(list(zip(*(part.column(c).to_pylist() for c in (4, 5, 6)))))
                 noise = [found for found, _ in got]
-                heads = [[{"how": h, "form": f} for h, f in dict.fromkeys(cands)] for _, cands in got]
+                heads = [[dict(zip(("how", "form", "place", "bad"), h)) for h in cands] for _, cands in got]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], pa.array(noise, pa.list_(pa.string())), pa.array(heads, head)], names=["record_id", "at", "book_slug", "section_pos", "noise", "heads"])
 
     cols = [F.col("record_id"), F.col("ingested_at").alias("at"), "book_slug", "section_pos", "text", "page_start", "page_end"]
-    return paragraphs.select(*cols).mapInArrow(run, "record_id bigint, at timestamp, book_slug string, section_pos int, noise array<string>, heads array<struct<how: string, form: string>>")
+    return paragraphs.select(*cols).mapInArrow(run, f"record_id bigint, at timestamp, book_slug string, section_pos int, noise array<string>, heads {_HEADS}")
 
 
 def _title_norm(title: Column) -> Column:
@@ -658,62 +711,65 @@ def _title_norm(title: Column) -> Column:
 
 
 def _confirmed(rows: DataFrame, books: DataFrame, sections: DataFrame) -> DataFrame:
-    """(record_id, form, exact) of the candidates that name their book or section."""
+    """(record_id, form, place) of the candidates that name their book or section."""
     titles = books.filter("book_title is not null").select("book_slug", _title_norm(F.col("book_title")).alias("title")).distinct()
     heads = sections.filter("title is not null").select("book_slug", "section_pos", _title_norm(F.col("title")).alias("title")).distinct()
-    c = rows.select("record_id", "book_slug", "section_pos", F.explode("heads").alias("h")).select("record_id", "book_slug", "section_pos", "h.how", "h.form")
+    c = rows.select("record_id", "book_slug", "section_pos", F.explode("heads").alias("h")).select("record_id", "book_slug", "section_pos", "h.how", "h.form", "h.place")
     # a book's title after a preposition is part of its sentence
-    both = c.filter("how != 'led'").join(titles, "book_slug").select("record_id", "how", "form", "title").unionByName(c.join(heads, ["book_slug", "section_pos"]).select("record_id", "how", "form", "title"))
+    both = c.filter("how != 'led'").join(titles, "book_slug").select("record_id", "how", "form", "place", "title").unionByName(c.join(heads, ["book_slug", "section_pos"]).select("record_id", "how", "form", "place", "title"))
     far = F.greatest(F.lit(1), F.floor(F.length("title") * 0.2)).cast("int")
     # a head in another setting may carry its page number, or a capital word beside it
     held = F.contains(F.col("form"), F.col("title")) & (F.length("form") <= F.length("title") + F.when(F.col("how") == "line", 4).otherwise(14))
     near = F.when(F.abs(F.length("form") - F.length("title")) <= far, F.levenshtein("form", "title") <= far).otherwise(False)
     ok = (F.length("title") >= 4) & (held | (near & ~F.col("how").isin("title", "led")))
-    return both.filter(ok).select("record_id", "form", held.alias("exact")).groupBy("record_id", "form").agg(F.max("exact").alias("exact"))
+    return both.filter(ok).select("record_id", "form", "place").distinct()
 
 
-def _held(paragraphs: DataFrame, books: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int], dict[int, int]]:
-    counted, pairs = vocabulary(paragraphs)
-    words = Decoder(counted).words
+def _held(paragraphs: DataFrame, books: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame, Shared]:
+    # one word in LEAST_SHARE of the corpus at most, and the rarer ones near these: some tens of MB
+    shared = uuid4().hex, paragraphs.sparkSession.sparkContext.broadcast(vocabulary(paragraphs))
     newest = (
-        _scan(paragraphs, words, pairs)
+        _scan(paragraphs, shared)
         .groupBy("record_id")
         .agg(F.max_by(F.struct("at", "book_slug", "section_pos", "noise", "heads"), F.coalesce("at", F.timestamp_seconds(F.lit(-(10**10))))).alias("s"))
         .select("record_id", "s.*")
         .filter((F.size("noise") > 0) | (F.size("heads") > 0))
     )
     rows = materialize(newest, "scan-damage")
-    return rows, _confirmed(rows, books, sections), words, pairs
+    return rows, _confirmed(rows, books, sections), shared
 
 
 def damaged(paragraphs: DataFrame, books: DataFrame, sections: DataFrame) -> DataFrame:
     """(record_id, noise): a row for each kind of damage a record's newest text carries.
 
     broken_word, misread, running_head or page_number; only texts that are
-    prose by their profile are looked at. Null, empty and blank texts have
-    none, null pages leave the page number unchecked, a null book or section
-    leaves no title to compare with. Of several titles of a book or section
-    any may be the head. Rows tied on the time are taken as identical; rows
-    with a null record_id count as one record. parser_mode is not used.
+    prose by their profile are looked at. ``misread`` is told of the words and
+    numbers of the prose, not of a head or page number, which is no part of it
+    and goes as a whole; a line in capitals that proves to be no head is prose.
+    Null, empty and blank texts have none, null pages leave the page number
+    unchecked, a null book or section leaves no title to compare with. Of
+    several titles of a book or section any may be the head. Rows tied on the
+    time are taken as identical; rows with a null record_id count as one
+    record. parser_mode is not used.
     """
-    rows, heads, _, _ = _held(paragraphs, books, sections)
+    rows, heads, _ = _held(paragraphs, books, sections)
     noise = rows.select("record_id", F.explode("noise").alias("noise"))
-    # a head that only resembles its title was misread
-    by = heads.groupBy("record_id").agg(F.max("exact").alias("exact"))
-    kinds = F.when(F.col("exact"), F.array(F.lit("running_head"))).otherwise(F.array(F.lit("running_head"), F.lit("misread")))
-    return noise.unionByName(by.select("record_id", F.explode(kinds).alias("noise"))).distinct()
+    bad = rows.select("record_id", F.explode("heads").alias("h")).filter("h.bad").select("record_id", F.col("h.place").alias("place")).distinct()
+    misread = bad.join(heads.select("record_id", "place"), ["record_id", "place"], "left_anti").select("record_id", F.lit("misread").alias("noise"))
+    return noise.unionByName(misread).unionByName(heads.select("record_id", F.lit("running_head").alias("noise"))).distinct()
 
 
 def repaired(paragraphs: DataFrame, books: DataFrame, sections: DataFrame) -> DataFrame:
     """(record_id, text): every damaged record as continuous readable prose, paragraphs apart by a blank line."""
-    rows, heads, words, pairs = _held(paragraphs, books, sections)
+    rows, heads, shared = _held(paragraphs, books, sections)
     by = heads.groupBy("record_id").agg(F.collect_set("form").alias("forms"))
-    marked = rows.select("record_id", "at", "noise").join(by, "record_id", "left").filter((F.size("noise") > 0) | F.col("forms").isNotNull())
+    bad = F.exists("heads", lambda h: h["bad"])
+    marked = rows.select("record_id", "at", "noise", bad.alias("bad")).join(by, "record_id", "left").filter((F.size("noise") > 0) | F.col("bad") | F.col("forms").isNotNull())
     texts = paragraphs.select(F.col("record_id").alias("r"), F.col("ingested_at").alias("t"), "text", "page_start", "page_end")
     full = marked.join(texts, (F.col("record_id") == F.col("r")) & F.col("at").eqNullSafe(F.col("t"))).dropDuplicates(["record_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(words, pairs)
+        scanner = _scanner(shared)
         for batch in batches:
             texts = [scanner.readable(t, set(f or ()), a, b) for t, f, a, b in zip(*(batch.column(c).to_pylist() for c in range(1, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["record_id", "text"])
