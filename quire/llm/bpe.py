@@ -88,7 +88,7 @@ class Encoder:
             import duckdb
             import pyarrow as pa
 
-            db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
+            db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
             merges = pa.table({"l": self.left, "r": self.right, "id": self.merged, "rank": np.arange(len(self.left), dtype=np.int64)})
             db.register("given", merges)
             db.execute("CREATE TABLE merges AS SELECT * FROM given")

@@ -3,7 +3,10 @@
 Hierarchical residual packing. Every partition packs its own items best fit,
 the largest first; bins that are full enough are done. The others go on as
 items of their own to the next round, where a few partitions' worth of them
-meet in one and are packed again, until one partition is left.
+meet in one and are packed again, until one partition is left, or more of them
+are left than one task should hold and a round brings them together no
+further. What goes where depends on the documents' keys and sizes alone, not
+on how the input lies.
 """
 
 from __future__ import annotations
@@ -22,12 +25,10 @@ from quire.session import materialize
 FULL = 0.995
 #: So many partitions of a round meet in one of the next.
 FAN_IN = 8
-#: At most so many underfull bins of a partition go on, those with the most room first; fuller ones are done as they are. Bounds the input of every later task.
-CARRIED = 2_000
 #: Bins of no more items than this, so that items of no tokens cannot pile up in one.
 ITEMS_PER_BIN = 4_096
-#: Items that meet in one task of the first round.
-ITEMS_PER_TASK = 20_000
+#: Items that meet in one task of a round, on average.
+ITEMS_PER_TASK = 4_000
 
 
 def best_fit(sizes: list[int], counts: list[int], capacity: int) -> list[int]:
@@ -82,9 +83,6 @@ def _round(df: DataFrame, capacity: int, number: int, last: bool) -> DataFrame:
             fill[b] += sizes[i]
             held[b] += docs[i]
         done = [last or f >= FULL * capacity for f in fill]
-        left = sorted((f, b) for b, f in enumerate(fill) if not done[b])
-        for _, b in left[CARRIED:]:
-            done[b] = True
         part = TaskContext.get().partitionId()
         names = [f"{number:02d}-{part:06d}-{b:06d}" for b in range(n)]
         for k in range(0, len(items), 20_000):
@@ -109,15 +107,17 @@ def pieces(counts: DataFrame, capacity: int, key: str = "doc_id", size: str = "n
     """(key, piece, first_token, size, item): one row a document, more only where it has more tokens than a container.
 
     Such a document gives full pieces and a rest; a row with null or zero
-    tokens gives one piece of size 0.
+    tokens gives one piece of size 0. Rows with the same key and size are
+    told apart by a number, which any of them may have.
     """
     n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
-    last = F.greatest(F.lit(0), F.ceil(n / F.lit(float(capacity))).cast("int") - 1)
+    last = F.greatest(F.lit(0), F.ceil(F.col("n") / F.lit(float(capacity))).cast("int") - 1)
+    alike = counts.select(F.col(key), n.alias("n")).groupBy(key, "n").agg(F.count("*").cast("int").alias("copies"))
     return (
-        counts.select(F.col(key), n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+        alike.select(key, "n", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .select(key, "n", "copy", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
         .withColumn("first_token", F.col("piece") * F.lit(capacity).cast("bigint"))
-        .select(key, "piece", "first_token", F.least(F.col("n") - F.col("first_token"), F.lit(capacity)).alias("size"))
-        .withColumn("item", F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("piece"), F.monotonically_increasing_id()))
+        .select(key, "piece", "first_token", F.least(F.col("n") - F.col("first_token"), F.lit(capacity)).alias("size"), F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("null")), "n", "copy", "piece").alias("item"))
     )
 
 
@@ -126,9 +126,10 @@ def pack(counts: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_t
 
     ``start`` is the token of the container the piece begins at, ``place`` its
     number there from 0. Documents are never divided unless larger than
-    ``capacity``. Null and empty documents are placed with size 0. Rows with
-    the same key are separate documents; a null key is kept. Ties in size are
-    settled by item name. Empty input gives an empty frame.
+    ``capacity``, which is that of one kind of container. Null and empty
+    documents are placed with size 0. Rows with the same key are separate
+    documents; a null key is kept. Ties in size are settled by item name.
+    Empty input gives an empty frame.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -140,17 +141,22 @@ def pack(counts: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_t
     level = loose.select("item", "size", F.lit(1).cast("bigint").alias("docs")).repartition(n_tasks, F.xxhash64("item"))
     done_bins: DataFrame | None = None
     number = 0
+    last = n_tasks == 1
     while True:
-        last = n_tasks == 1
         placed = materialize(_round(level, capacity, number, last), f"pack-round{number}")
-        lifted = placed if done_bins is None else _lift(done_bins, placed)
+        done_bins = placed if done_bins is None else _lift(done_bins, placed)
         if last:
-            done_bins = lifted
             break
-        done_bins = lifted
-        n_tasks = -(-n_tasks // FAN_IN)
+        going = placed.filter(~F.col("done")).groupBy("bin").agg(F.first("fill").alias("size"), F.first("docs").alias("docs"))
+        left = going.count()
+        if not left:
+            break
+        # fewer tasks each round, unless that many bins are left that tasks would have to hold more than they should
+        fewer = max(-(-n_tasks // FAN_IN), -(-left // ITEMS_PER_TASK))
+        last = fewer == 1 or fewer >= n_tasks
+        n_tasks = fewer
         number += 1
-        level = placed.filter(~F.col("done")).groupBy("bin").agg(F.first("fill").alias("size"), F.first("docs").alias("docs")).select(F.col("bin").alias("item"), "size", "docs").repartition(n_tasks, F.xxhash64("item"))
+        level = going.select(F.col("bin").alias("item"), "size", "docs").repartition(n_tasks, F.xxhash64("item"))
     where = done_bins.select("item", F.col("bin").alias("container"), "place", "start")
     packed = work.filter(~whole).join(where, "item").select(key, "piece", "first_token", "size", "container", "place", "start")
     full = work.filter(whole).select(key, "piece", "first_token", "size", F.concat(F.lit("whole-"), "item").alias("container"), F.lit(0).cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("start"))

@@ -535,8 +535,12 @@ class Scanner:
                 out.append(w)
         return out
 
-    def _misread(self, text: str) -> bool:
-        return any(w[-1] not in HYPHENS and self.decoder.repair(w) for w in self._odd(text.split()))
+    def _misread(self, text: str) -> str | None:
+        """A head candidate with its misread words put right, None where it has none."""
+        fixed = {w: self.decoder.repair(w) for w in self._odd(text.split()) if w[-1] not in HYPHENS}
+        if not any(fixed.values()):
+            return None
+        return " ".join(t if not fixed.get(core(t)[1]) else fixed[core(t)[1]] for t in text.split())
 
     def damage(self, text: str, first: int | None, last: int | None) -> tuple[list[str], list[Head]]:
         """(kinds of damage, head candidates) of a text, as if it were prose.
@@ -561,15 +565,15 @@ class Scanner:
                 whole_line = head_line(line)
                 if whole_line:
                     place += 1
-                    bad = self._misread(line)
-                    heads += [(how, form, place, bad) for how, form in whole_line]
+                    fixed = self._misread(line)
+                    heads += [(how, form, place, fixed is not None) for how, form in dict.fromkeys(whole_line + (head_line(fixed) if fixed else []))]
                     continue
             kept, upto = "", 0
             for how, form, a, b in heads_within(line, not several):
                 place += 1
-                bad = how == "caps" and self._misread(line[a:b])
-                heads.append((how, form, place, bad))
-                if bad and a >= upto:
+                fixed = self._misread(line[a:b]) if how == "caps" else None
+                heads += [(how, f, place, fixed is not None) for f in dict.fromkeys([form] + ([norm(fixed)] if fixed else []))]
+                if fixed and a >= upto:
                     kept, upto = f"{kept}{line[upto:a]} ", b
             body.append(kept + line[upto:])
         # the last token of a text without an end may be half a word
@@ -762,7 +766,9 @@ def damaged(paragraphs: DataFrame, books: DataFrame, sections: DataFrame) -> Dat
 def repaired(paragraphs: DataFrame, books: DataFrame, sections: DataFrame) -> DataFrame:
     """(record_id, text): every damaged record as continuous readable prose, paragraphs apart by a blank line."""
     rows, heads, shared = _held(paragraphs, books, sections)
-    by = heads.groupBy("record_id").agg(F.collect_set("form").alias("forms"))
+    # as they are printed, too, where only the form put right is a title
+    every = rows.select("record_id", F.explode("heads").alias("h")).select("record_id", "h.place", "h.form")
+    by = every.join(heads.select("record_id", "place").distinct(), ["record_id", "place"], "left_semi").groupBy("record_id").agg(F.collect_set("form").alias("forms"))
     bad = F.exists("heads", lambda h: h["bad"])
     marked = rows.select("record_id", "at", "noise", bad.alias("bad")).join(by, "record_id", "left").filter((F.size("noise") > 0) | F.col("bad") | F.col("forms").isNotNull())
     texts = paragraphs.select(F.col("record_id").alias("r"), F.col("ingested_at").alias("t"), "text", "page_start", "page_end")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.bpe import DEFAULT_TOKENIZER, Encoder
@@ -18,10 +20,17 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; its memos live as long as the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _ENCODERS[path]
 
 
+def _sent(df: DataFrame, path: str) -> DataFrame:
+    """Send the vocabulary file to the executors, where it may not lie."""
+    if os.path.isfile(path):
+        df.sparkSession.sparkContext.addFile(path)
+    return df
+
+
 def _slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
     enc = encoder(path)
     for batch in batches:
@@ -48,7 +57,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", out: str =
             values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[key, out])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind.simpleString()}, `{out}` array<int>")
+    return _sent(df, path).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind.simpleString()}, `{out}` array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "n_tokens", path: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -59,4 +68,4 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", out: st
         for keys, ids in _slices(batches, path):
             yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], type=pa.int32())], names=[key, out])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind.simpleString()}, `{out}` int")
+    return _sent(df, path).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind.simpleString()}, `{out}` int")

@@ -57,6 +57,22 @@ def test_pack_in_rounds(spark, tasks, monkeypatch):
     assert {(r.doc_id, r.piece, r.container, r.place) for r in rows} == {(r.doc_id, r.piece, r.container, r.place) for r in again}
 
 
+def test_the_layout_of_the_input_does_not_matter(spark):
+    rng = random.Random(7)
+    docs = [(rng.choice([None, i]), rng.randint(0, 700)) for i in range(900)] + [(5, 20)] * 3
+    df = spark.createDataFrame(docs, "doc_id bigint, n_tokens int")
+    one, other = ({(r.doc_id, r.piece, r.size, r.container, r.place, r.start) for r in packing.pack(df.repartition(n), 1_000, tasks=4).collect()} for n in (2, 7))
+    assert one == other and len(one) == len(docs)
+
+
+def test_bins_that_nothing_fits_into(spark, monkeypatch):
+    """All underfull, more than one task should hold: they stay in several tasks, whole."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 40)
+    docs = [(i, 600 + i % 7) for i in range(400)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id bigint, n_tokens int"), 1_000).collect()
+    assert check(rows, docs, 1_000) == 400
+
+
 def test_many_empty_documents_spread(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS_PER_BIN", 50)
     docs = [(i, 0) for i in range(400)]

@@ -123,3 +123,31 @@ def test_the_cheapest_reading_of_a_stream():
     assert read("the foot\nball was") == "the foot ball was"
     assert read("the foot-\nball was") == "the football was"
     assert read("theharbour was") == "the harbour was" and read("the harb our was") == "the harbour was"
+
+
+def test_confusions_in_any_number_and_long_words():
+    words = {"the": 6000, "nineteenth": 300, "willingness": 200, "of": 3000, "ministered": 90, "incomprehensibilities" * 3: 50}
+    decoder = scans.Decoder(words, {})
+    assert decoder.repair("niiictccnfh") is None and decoder.repair("nin3teenth") is None
+    assert decoder.repair("ninctccnfh") == "nineteenth" and decoder.repair("0f") == "of" and decoder.repair("e") is None
+    assert decoder.repair("incomprchensibilities" * 3) == "incomprehensibilities" * 3
+    # so many confusable places that no list of combinations could be made
+    assert decoder.repair("1" * 400) is None and decoder.split("c" * 3_000) is None
+
+
+def test_words_that_stand_too_often_to_be_misread():
+    decoder = scans.Decoder({"eat": 900, "cat": 700, "ear": 900, "cvery": 3, "every": 900, "ha1l": 40, "hall": 90}, {})
+    assert {"cat", "eat"} <= set(decoder.words) and not {"cvery", "ha1l"} & set(decoder.words)
+    assert decoder.stands("car", 100) and not decoder.stands("car", 2)
+
+
+def test_paragraphs_of_any_number_of_lines():
+    assert [len(x) for x in scans.paragraphs_of(["the words of this line go on and on"] * 1_200)] == [1_200]
+
+
+def test_misread_words_of_heads_are_none_of_the_prose(spark, tables):
+    rows = [(1, "Nobody in the town expected the market to last.\nTHF QUlFT HARB0UR\nThe library had replaced the older harbour before 1850."), (2, "l2\nNobody in the town expected the market to last."), (3, "Nobody in the town expected the market to last.\nTHF 0LD PRlCE\nThe library had replaced the older harbour before 1850.")]
+    got = {}
+    for r in scans.damaged(*tables([(i, t) for i, t in rows])).filter("record_id < 10000").collect():
+        got.setdefault(r.record_id, set()).add(r.noise)
+    assert got[1] == {"running_head"} and got.get(3) == {"misread"}
