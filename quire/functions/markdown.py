@@ -32,17 +32,20 @@ def merge_overlap(text: Column, more: Column, least: int = 20, most: int = 300)
 
 
 def html_blocks(md: Column) -> Column:
-    """Markdown paragraphs as HTML: emphasis, strong emphasis, headings one level down; a leading heading block is left out."""
-    blocks = F.filter(F.transform(F.split(md, "\n\n"), lambda b: F.trim(b)), lambda b: b != "")
-    body = F.when((F.size(blocks) > 0) & F.element_at(F.concat(blocks, F.array(F.lit(""))), 1).startswith("#"), F.slice(blocks, 2, F.greatest(F.lit(0), F.size(blocks) - 1))).otherwise(blocks)
+    """Markdown paragraphs as HTML without citations: emphasis, strong emphasis, headings of the second and third level as third; the first heading is left out."""
+    from quire.functions.text import strip_citation_lists
+
+    blocks = F.filter(F.transform(F.split(strip_citation_lists(md), "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
+    heading = F.array_position(F.transform(blocks, lambda b: b.startswith("#")), True).cast("int")
+    kept = F.filter(blocks, lambda b, i: i != heading - 1)
 
     def block(b: Column) -> Column:
         text = F.regexp_replace(F.regexp_replace(b, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"\*(.+?)\*", "<em>$1</em>")
-        head = F.regexp_extract(b, "^(#+)", 1)
-        level = F.least(F.lit(6), F.length(head) + 1).cast("string")
-        return F.when(head != "", F.concat(F.lit("<h"), level, F.lit(">"), F.regexp_replace(text, r"^#+\s*", ""), F.lit("</h"), level, F.lit(">"))).otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
+        head = F.regexp_extract(b, "^(###? )", 1)
+        rest = F.substring(b, F.length(head) + 1, F.length(b))
+        return F.when(head != "", F.concat(F.lit("<h3>"), rest, F.lit("</h3>"))).otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
 
-    return F.array_join(F.transform(body, block), "\n")
+    return F.array_join(F.transform(kept, block), "\n")
 
 
 def parse_json(response: Column, schema: str) -> Column:

@@ -56,12 +56,12 @@ def strip_citations(text: Column) -> Column:
 
 def strip_citation_lists(text: Column) -> Column:
     """Without ``[p:<id>]`` marks that hold one or more ids, and without the blanks before them."""
-    return F.regexp_replace(text, r"\s*\[p:[a-f0-9-]+(?:\s*[,;]\s*p?:?[a-f0-9-]+)*\]", "")
+    return F.regexp_replace(text, r"\s*\[p:[a-f0-9-]+(?:,\s*p:[a-f0-9-]+)*\]", "")
 
 
-def citations_to_links(text: Column, target: str = "source") -> Column:
-    """``[p:<id>]`` as a wiki link to the paragraph's anchor."""
-    return F.regexp_replace(text, r"\[p:([a-f0-9-]+)\]", rf"[[{target}#^$1\|¶]]")
+def citations_to_links(text: Column, slug: Column) -> Column:
+    """``[p:<id>]`` as a wiki link to the paragraph's anchor in the book's source file."""
+    return F.regexp_replace(text, F.lit(r"\[p:([a-f0-9-]+)\]"), F.concat(F.lit("[["), slug, F.lit(r".source#^$1\|↗]]")))
 
 
 def strip_code_fence(text: Column) -> Column:

@@ -11,26 +11,51 @@ SPAN = 50
 THRESHOLD = 0.75
 
 
-def near_tokens(text: Column, needle: Column, threshold: float = THRESHOLD, span: int = SPAN) -> Column:
-    """Whether some ``span`` consecutive tokens of the text hold enough of the needle's, repeated ones each.
+def _tokens(form: Column) -> Column:
+    return F.filter(F.split(form, " "), lambda t: t != "")
 
-    Both in match form. Only windows that begin at a token of the needle are
-    tried, and the last one; no other can hold more.
+
+def near_tokens(tokens: Column, needle: Column, threshold: float = THRESHOLD, span: int = SPAN) -> Column:
+    """Whether some ``span`` consecutive tokens of a text hold enough of the needle's, repeated ones each.
+
+    The needle is in match form. Only places where one of its tokens stands
+    are looked at: a window that holds enough may as well begin at one.
     """
-    h = F.filter(F.split(text, " "), lambda t: t != "")
-    n = F.filter(F.split(needle, " "), lambda t: t != "")
+    n = _tokens(needle)
     need = F.greatest(F.lit(1), (F.size(n).cast("double") * F.lit(float(threshold))).cast("int"))
-    last = F.greatest(F.lit(0), F.size(h) - span)
-    hits = F.filter(F.transform(h, lambda t, i: F.when(F.array_contains(n, t), F.least(i, last))), lambda i: i.isNotNull())
-    starts = F.array_distinct(hits)
-    return F.exists(starts, lambda s: F.size(F.filter(n, lambda w: F.array_contains(F.slice(h, s + 1, F.lit(span)), w))) >= need)
+    hits = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("t"))), lambda x: F.array_contains(n, x["t"]))
+
+    def held(first: Column) -> Column:
+        inside = F.transform(F.filter(hits, lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + span)), lambda x: x["t"])
+        return F.size(F.filter(n, lambda w: F.array_contains(inside, w))) >= need
+
+    return F.exists(hits, held)
+
 
+def match_forms(text: Column) -> Column:
+    """What needles are looked for in, made once a text: (low, form, tokens)."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(F.lower(t).alias("low"), match_form(t).alias("form"), _tokens(match_form(t)).alias("tokens"))
 
-def match_tier(text: Column, needle: Column, threshold: float = THRESHOLD) -> Column:
-    """1: the needle stands in the text in any case; 2: without its punctuation; 3: enough of its tokens near each other; 0: not at all. Null sides are empty."""
-    h, n = F.coalesce(text, F.lit("")), F.coalesce(needle, F.lit(""))
-    hf, nf = match_form(h), match_form(n)
-    return F.when(F.contains(F.lower(h), F.lower(n)), 1).when(F.contains(hf, nf), 2).when(near_tokens(hf, nf, threshold), 3).otherwise(0)
+
+def match_tier(forms: Column, needle: Column, threshold: float = THRESHOLD) -> Column:
+    """1: the needle stands in the text in any case; 2: without its punctuation; 3: enough of its tokens near each other; 0: not at all. A null needle is empty."""
+    n = F.coalesce(needle, F.lit(""))
+    nf = match_form(n)
+    return F.when(F.contains(forms["low"], F.lower(n)), 1).when(F.contains(forms["form"], nf), 2).when(near_tokens(forms["tokens"], nf, threshold), 3).otherwise(0)
+
+
+def tiers(items: DataFrame, bodies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The items with ``tier``, how their chapter's text holds their name, and ``none``, whether there is no text; citations are no part of it.
+
+    ``bodies`` has one row a chapter; each is brought into match form once.
+    """
+    clean = strip_citations(F.coalesce("body_md", F.lit("")))
+    # written out once a body, not once an item that meets it
+    forms = bodies.select("book_slug", "section_pos", clean.alias("c")).select("book_slug", "section_pos", (F.col("c") == "").alias("none"), match_forms(F.col("c")).alias("forms")).repartition("book_slug", "section_pos")
+    x = items.join(forms, ["book_slug", "section_pos"], "left")
+    empty = F.struct(F.lit("").alias("low"), F.lit("").alias("form"), F.array().cast("array<string>").alias("tokens"))
+    return x.withColumn("forms", F.coalesce("forms", empty)).withColumn("tier", match_tier(F.col("forms"), F.col("name"), threshold)).withColumn("none", F.coalesce("none", F.lit(True))).drop("forms")
 
 
 def severity(kind: Column, load_bearing: Column) -> Column:
@@ -44,12 +69,10 @@ def missing_items(items: DataFrame, bodies: DataFrame, threshold: float = THRESH
     A chapter without text loses its frameworks only, named without their
     detail. ``bodies`` has one row a chapter.
     """
-    x = items.join(bodies.select("book_slug", "section_pos", "body_md"), ["book_slug", "section_pos"], "left")
-    none = F.coalesce(F.trim("body_md"), F.lit("")) == ""
-    tier = match_tier(strip_citations(F.col("body_md")), F.col("name"), threshold)
-    lost = F.when(none, F.col("item_type") == "framework").otherwise(tier == 0)
+    x = tiers(items, bodies, threshold)
+    lost = F.when(F.col("none"), F.col("item_type") == "framework").otherwise(F.col("tier") == 0)
     name = F.coalesce("name", F.lit(""))
-    text = F.when(none | (F.coalesce("detail", F.lit("")) == ""), name).otherwise(F.concat(name, F.lit(": "), F.col("detail")))
+    text = F.when(F.col("none"), name).otherwise(F.concat(name, F.lit(": "), F.coalesce("detail", F.lit(""))))
     return x.filter(lost).select("book_slug", "section_pos", "item_type", "item_pos", text.alias("description"), severity(F.col("item_type"), F.col("is_load_bearing")).alias("severity"))
 
 

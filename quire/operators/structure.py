@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.text import word_count, words
 
-#: Number words of chapter headings (fixed values).
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
-_NUMBER = r"(\d+|" + NUMBER_WORDS.replace(" ", "|") + ")"
-CHAPTER = rf"(?i)^chapter\s+{_NUMBER}(\s.*)?$"
-MATTER = r"(?i)^(introduction|preface|prologue|epilogue|conclusion|afterword)$"
-PLAIN_HEADING = rf"(?i)^\s*(chapter|part)\s+{_NUMBER}\b[:.]?.*$"
+#: Number words of chapter headings (fixed value).
+NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty"
+#: Headings that are one word (fixed value).
+MATTER_WORDS = "introduction|preface|prologue|epilogue|conclusion|afterword"
+CHAPTER = rf"(?i)^chapter\s+(\d+|{NUMBER_WORDS})(\s.*)?$"
+MATTER = rf"(?i)^({MATTER_WORDS})$"
+PLAIN_HEADING = rf"(?i)^\s*((chapter|part)\s+(\d+|{NUMBER_WORDS})[:.]?\s*.*|{MATTER_WORDS})$"
 GENERIC_TITLE = r"^(Introduction|Body|Front Matter|Part \d+)\s*(\(Part \d+\))?$"
 
 
@@ -38,10 +39,12 @@ def is_real_title(title: Column) -> Column:
 
 
 def heading_level(title: Column, parsed: Column) -> Column:
-    """Level by what a heading says: named parts are 1, numbered ones as deep as their dots, others as parsed."""
-    number = F.regexp_extract(title, r"^\s*(\d+(?:\.\d+)*)\.?\s+\S", 1)
+    """Level by what a heading says: chapters, parts and three words that stand alone are 1, numbered ones as deep as their dots, others as parsed."""
+    low = F.lower(F.trim(title))
+    number = F.regexp_extract(title, r"(?i)^\s*(?:section\s+|sub\s+|appendix\s+)?(\d+(?:\.\d+)*)", 1)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
-    return F.when(title.rlike(r"(?i)^\s*(chapter|part|introduction|preface|epilogue)\b"), F.lit(1)).when((number != "") & number.contains("."), F.least(F.lit(6), dots + 1)).otherwise(parsed)
+    top = low.startswith("chapter ") | low.startswith("part ") | low.isin("introduction", "preface", "epilogue")
+    return F.when(top, F.lit(1)).when(number != "", F.least(F.lit(6), dots + 1)).otherwise(parsed)
 
 
 def item_role(label: Column, text: Column, in_section: Column) -> Column:
@@ -117,15 +120,30 @@ def greedy_parts(paragraphs: DataFrame, over: int = 8000, target: int = 5000, or
     """
     key = ["book_slug", "section_pos"]
     counts = paragraphs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("n_words")))).alias("a"), F.sum("n_words").alias("words"))
-    start = F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("run"), F.array().cast("array<int>").alias("parts"))
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).cast("bigint").alias("run"), F.array(F.lit(1)).alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
-        run = acc["run"] + x["n_words"]
-        return F.struct(F.when(run >= target, acc["part"] + 1).otherwise(acc["part"]).alias("part"), F.when(run >= target, F.lit(0).cast("bigint")).otherwise(run).alias("run"), F.concat(acc["parts"], F.array(acc["part"])).alias("parts"))
-
-    parts = F.when(F.col("words") > over, F.aggregate("a", start, step)["parts"]).otherwise(F.transform("a", lambda _: F.lit(1)))
-    folded = counts.select(*key, "words", F.posexplode(F.arrays_zip(F.transform("a", lambda x: x[order]).alias("o"), parts.alias("p"))).alias("i", "z"))
-    return paragraphs.join(folded.select(*key, F.col("z.o").alias(order), F.col("z.p").alias("part")), [*key, order])
+        run, at = acc["run"] + x["n_words"], acc["at"] + 1
+        return F.struct(at.alias("at"), F.when(run >= target, F.lit(0).cast("bigint")).otherwise(run).alias("run"), F.when(run >= target, F.concat(acc["starts"], F.array(at))).otherwise(acc["starts"]).alias("starts"))
+
+    # only where parts begin is gathered; each part then takes its own stretch
+    starts = F.when(F.col("words") > over, F.aggregate("a", start, step)["starts"]).otherwise(F.array(F.lit(1)))
+    cut = counts.select(*key, "a", starts.alias("starts")).select(*key, "a", "starts", F.posexplode("starts").alias("i", "first"))
+    stop = F.coalesce(F.get("starts", F.col("i") + 1), F.size("a") + 1)
+    folded = cut.select(*key, (F.col("i") + 1).alias("part"), F.explode(F.slice("a", F.col("first"), stop - F.col("first"))).alias("x"))
+    return paragraphs.join(folded.select(*key, F.col(f"x.{order}").alias(order), "part"), [*key, order])
+
+
+def split_titles(parts: DataFrame, sections: DataFrame) -> DataFrame:
+    """(book_slug, section_pos, part, title, section_id) of every part: the section's own where it is whole, else with its number behind."""
+    from quire.functions.ids import section_id
+
+    many = parts.groupBy("book_slug", "section_pos").agg(F.max("part").alias("parts"))
+    each = parts.select("book_slug", "section_pos", "part").distinct().join(many, ["book_slug", "section_pos"])
+    x = each.join(sections.select("book_slug", "section_pos", F.col("title").alias("own")), ["book_slug", "section_pos"])
+    title = F.when(F.col("parts") > 1, F.concat(F.coalesce("own", F.lit("")), F.lit(" (Part "), F.col("part").cast("string"), F.lit(")"))).otherwise(F.col("own"))
+    x = x.withColumn("title", title)
+    return x.select("book_slug", "section_pos", "part", "title", section_id(F.coalesce("title", F.lit("")), F.lit(1), F.array().cast("array<string>")).alias("section_id"))
 
 
 def preview(paragraphs: DataFrame, sections: DataFrame, limit: int = 200) -> DataFrame:

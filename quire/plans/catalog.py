@@ -39,19 +39,21 @@ def oracle_sql() -> dict[str, str]:
 
 
 def paragraphs(s: SparkSession, d: str) -> DataFrame:
-    return latest(table(s, d, "paragraphs"), ["record_id"], "ingested_at").withColumn("n_words", tx.word_count(F.col("text"))).withColumn("is_table", F.coalesce("is_table", F.lit(False)))
+    # words are counted before rows move, so that plans that need no text carry none
+    p = table(s, d, "paragraphs").withColumn("n_words", tx.word_count(F.col("text"))).withColumn("is_table", F.coalesce("is_table", F.lit(False)))
+    return latest(p, ["record_id"], "ingested_at")
 
 
 def sections(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "sections").distinct()
+    return table(s, d, "sections").dropDuplicates(["book_slug", "section_pos"])
 
 
 def chapters(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "spine_chapters").distinct()
+    return table(s, d, "spine_chapters").dropDuplicates(["book_slug", "section_pos"])
 
 
 def items(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "spine_items").distinct()
+    return table(s, d, "spine_items").dropDuplicates(["book_slug", "section_pos", "item_type", "item_pos"])
 
 
 def books(s: SparkSession, d: str) -> DataFrame:
@@ -172,18 +174,23 @@ def src17_ledger_chunks(s: SparkSession, d: str) -> DataFrame:
 
 # Predicates.
 
-_NUM = structure.NUMBER_WORDS.replace(" ", "|")
+_NUM = structure.NUMBER_WORDS
+#: A line that is a heading, in SQL's own pattern language.
+_HEADING = f"(?i)^\\s*((chapter|part)\\s+(\\d+|{_NUM})[:.]?\\s*.*|introduction|preface|prologue|epilogue|conclusion|afterword)$"
 
 
 @query(
-    f"WITH {_S} SELECT book_slug, section_pos, coalesce(regexp_matches(trim(title), '(?i)^chapter\\s+(\\d+|{_NUM})(\\s.*)?$'), false) AS chapter, coalesce(regexp_matches(trim(title), '(?i)^(introduction|preface|prologue|epilogue|conclusion|afterword)$'), false) AS matter, coalesce(regexp_matches(title, '(?i)^\\s*(chapter|part)\\s+(\\d+|{_NUM})\\b[:.]?.*$'), false) AS plain, coalesce(regexp_matches(title, '^(Introduction|Body|Front Matter|Part \\d+)\\s*(\\(Part \\d+\\))?$'), false) AS generic_title FROM s"
+    f"WITH {_S} SELECT book_slug, section_pos, coalesce(regexp_matches(trim(title), '(?i)^chapter\\s+(\\d+|{_NUM})(\\s.*)?$'), false) AS chapter, coalesce(regexp_matches(trim(title), '(?i)^(introduction|preface|prologue|epilogue|conclusion|afterword)$'), false) AS matter, coalesce(regexp_matches(title, '{_HEADING}'), false) AS plain, coalesce(regexp_matches(title, '^(Introduction|Body|Front Matter|Part \\d+)\\s*(\\(Part \\d+\\))?$'), false) AS generic_title FROM s"
 )
 def pf01_heading_predicates(s: SparkSession, d: str) -> DataFrame:
     t = F.col("title")
     return sections(s, d).select("book_slug", "section_pos", structure.is_chapter_heading(t).alias("chapter"), structure.is_matter_heading(t).alias("matter"), structure.is_plain_heading(t).alias("plain"), structure.is_generic_title(t).alias("generic_title"))
 
 
-@query(f"WITH {_S} SELECT book_slug, section_pos, CASE WHEN regexp_matches(title, '(?i)^\\s*(chapter|part|introduction|preface|epilogue)\\b') THEN 1 WHEN regexp_extract(title, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+\\S', 1) LIKE '%.%' THEN least(6, len(string_split(regexp_extract(title, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+\\S', 1), '.'))) ELSE level END::INT AS level FROM s")
+@query(
+    f"WITH {_S}, n AS (SELECT *, lower(trim(title)) AS low, regexp_extract(title, '(?i)^\\s*(?:section\\s+|sub\\s+|appendix\\s+)?(\\d+(?:\\.\\d+)*)', 1) AS number FROM s) "
+    "SELECT book_slug, section_pos, CASE WHEN starts_with(low, 'chapter ') OR starts_with(low, 'part ') OR low IN ('introduction', 'preface', 'epilogue') THEN 1 WHEN number <> '' THEN least(6, len(string_split(number, '.'))) ELSE level END::INT AS level FROM n"
+)
 def pf04_heading_levels(s: SparkSession, d: str) -> DataFrame:
     return sections(s, d).select("book_slug", "section_pos", structure.heading_level(F.col("title"), F.col("level")).alias("level"))
 
@@ -261,7 +268,7 @@ def w02_path_before(s: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = (
-    f"x AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS a FROM documents WHERE text IS NOT NULL)), y AS (SELECT *, {_words('line')} AS n, regexp_matches(line, '(?i)^\\s*(chapter|part)\\s+(\\d+|{_NUM})\\b[:.]?.*$') OR regexp_matches(line, '^#+\\s') AS h FROM x), "
+    f"x AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS a FROM documents WHERE text IS NOT NULL)), y AS (SELECT *, {_words('line')} AS n, regexp_matches(line, '{_HEADING}') OR regexp_matches(line, '^#+\\s') AS h FROM x), "
     "z AS (SELECT *, sum(n) OVER w AS cum, sum(n) OVER (PARTITION BY doc_id) AS total FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), "
     "q AS (SELECT *, h AND coalesce(first_value(CASE WHEN h THEN cum - n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), total) - cum < 100 AS toc FROM z), "
     "r AS (SELECT *, sum((h AND NOT toc)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS seen FROM q), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, NOT h AND seen = 0 AND n > 20 ORDER BY pos) = 1 AND NOT h AND seen = 0 AND n > 20 AS front FROM r), "
@@ -359,11 +366,11 @@ def fn11_table_text(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_D} SELECT book_slug, section_pos, regexp_replace(body_md, '\\[p:[a-f0-9-]+\\]', '', 'g') AS bare, regexp_replace(body_md, '\\[p:([a-f0-9-]+)\\]', '[[source#^\\1|¶]]', 'g') AS linked, CASE WHEN regexp_extract(body_md, '^##\\s+([^\\n]*?)\\s*\\n', 1) = chapter_title AND chapter_title <> '' THEN regexp_replace(body_md, '^##\\s+[^\\n]*\\n', '') ELSE body_md END AS without_heading FROM d WHERE body_md IS NOT NULL"
+    f"WITH {_D} SELECT book_slug, section_pos, regexp_replace(body_md, '\\[p:[a-f0-9-]+\\]', '', 'g') AS bare, regexp_replace(body_md, '\\[p:([a-f0-9-]+)\\]', '[[' || book_slug || '.source#^\\1|↗]]', 'g') AS linked, CASE WHEN regexp_extract(body_md, '^##\\s+([^\\n]*?)\\s*\\n', 1) = chapter_title AND chapter_title <> '' THEN regexp_replace(body_md, '^##\\s+[^\\n]*\\n', '') ELSE body_md END AS without_heading FROM d WHERE body_md IS NOT NULL"
 )
 def fn13_citations(s: SparkSession, d: str) -> DataFrame:
     b = F.col("body_md")
-    return bodies(s, d).filter("body_md is not null").select("book_slug", "section_pos", tx.strip_citations(b).alias("bare"), tx.citations_to_links(b).alias("linked"), render.strip_own_heading(b, F.col("chapter_title")).alias("without_heading"))
+    return bodies(s, d).filter("body_md is not null").select("book_slug", "section_pos", tx.strip_citations(b).alias("bare"), tx.citations_to_links(b, F.col("book_slug")).alias("linked"), render.strip_own_heading(b, F.col("chapter_title")).alias("without_heading"))
 
 
 @query(
@@ -391,13 +398,12 @@ def fn24_formats(s: SparkSession, d: str) -> DataFrame:
 
 _TIER = f"CASE WHEN contains(lower(t), lower(n)) THEN 1 WHEN contains({_FORM.format(x='t')}, {_FORM.format(x='n')}) THEN 2 WHEN len(list_filter(range(0, greatest(0, len(ht) - 50) + 1), lambda k: len(list_filter(nt, lambda w: list_contains(ht[k + 1:k + 50], w))) >= greatest(1, trunc(len(nt) * 0.75::DOUBLE)::INT))) > 0 THEN 3 ELSE 0 END"
 _MATCHED = f"{_I}, {_D}, m AS (SELECT i.*, d.body_md, regexp_replace(coalesce(d.body_md, ''), '\\[p:[a-f0-9-]+\\]', '', 'g') AS t, coalesce(i.name, '') AS n FROM i LEFT JOIN d ON i.book_slug = d.book_slug AND i.section_pos = d.section_pos), mm AS (SELECT *, list_filter(string_split({_FORM.format(x='t')}, ' '), lambda x: x <> '') AS ht, list_filter(string_split({_FORM.format(x='n')}, ' '), lambda x: x <> '') AS nt FROM m), tiers AS (SELECT *, {_TIER} AS tier FROM mm)"
-_MISSING = f"{_MATCHED}, missing AS (SELECT book_slug, section_pos, item_type, item_pos, CASE WHEN coalesce(trim(body_md), '') = '' OR coalesce(detail, '') = '' THEN n ELSE n || ': ' || detail END AS description, CASE WHEN item_type = 'framework' OR (item_type = 'example' AND coalesce(is_load_bearing, true)) THEN 'critical' ELSE 'minor' END AS severity FROM tiers WHERE CASE WHEN coalesce(trim(body_md), '') = '' THEN item_type = 'framework' ELSE tier = 0 END)"
+_MISSING = f"{_MATCHED}, missing AS (SELECT book_slug, section_pos, item_type, item_pos, CASE WHEN t = '' THEN n ELSE n || ': ' || coalesce(detail, '') END AS description, CASE WHEN item_type = 'framework' OR (item_type = 'example' AND coalesce(is_load_bearing, true)) THEN 'critical' ELSE 'minor' END AS severity FROM tiers WHERE CASE WHEN t = '' THEN item_type = 'framework' ELSE tier = 0 END)"
 
 
 @query(f"WITH {_MATCHED} SELECT book_slug, section_pos, item_type, item_pos, tier::INT AS tier FROM tiers")
 def cv01_match_tiers(s: SparkSession, d: str) -> DataFrame:
-    x = items(s, d).join(bodies(s, d).select("book_slug", "section_pos", "body_md"), ["book_slug", "section_pos"], "left")
-    return x.select("book_slug", "section_pos", "item_type", "item_pos", coverage.match_tier(tx.strip_citations(F.coalesce("body_md", F.lit(""))), F.col("name")).alias("tier"))
+    return coverage.tiers(items(s, d), bodies(s, d)).select("book_slug", "section_pos", "item_type", "item_pos", "tier")
 
 
 def _missing(s: SparkSession, d: str) -> DataFrame:
@@ -441,20 +447,50 @@ def gn03_condensed(s: SparkSession, d: str) -> DataFrame:
     return condense.condensed(condense.sentences(paragraphs(s, d)), _targets(s, d))
 
 
-# Rendering. SQL gives the length and digest of the same text.
+# Rendering: the rows of every book in order.
 
+_MD = "SELECT book_slug, section_pos::BIGINT AS section_pos, place::BIGINT AS place, markdown FROM"
+_CASED = "array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda r: upper(left(r, 1)) || lower(substr(r, 2))), '')"
+_FIRST_WORDS = "array_to_string(regexp_split_to_array(trim(thesis), '\\s+')[1:5], ' ')"
+_TITLED = (
+    "fw AS (SELECT book_slug, section_pos, arg_min(name, item_pos) FILTER (item_type = 'framework') AS framework, arg_min(name, item_pos) FILTER (item_type = 'key_term') AS term FROM i WHERE coalesce(name, '') <> '' GROUP BY ALL), "
+    f"tt AS (SELECT k.*, framework, term, row_number() OVER (PARTITION BY book_slug ORDER BY section_pos) AS idx FROM k LEFT JOIN fw USING (book_slug, section_pos)), "
+    f"tc AS (SELECT *, {_CASED.format(x='framework')} AS f, {_CASED.format(x='term')} AS w, {_CASED.format(x=_FIRST_WORDS)} || '...' AS h FROM tt), "
+    "titled AS (SELECT book_slug, section_pos, idx::INT AS idx, CASE WHEN coalesce(regexp_matches(chapter_title, '^(Introduction|Body|Front Matter|Part \\d+)\\s*(\\(Part \\d+\\))?$'), false) AND chapter_title <> 'Front Matter' THEN coalesce('Chapter ' || idx || ': ' || coalesce(CASE WHEN length(f) > 50 THEN left(f, 47) || '...' ELSE f END, w, h), chapter_title) ELSE chapter_title END AS title FROM tc)"
+)
 
-@query()
+
+@query(
+    f"WITH {_P}, {_S}, {_B}, r AS (SELECT book_slug, -1 AS section_pos, 0 AS place, '# ' || coalesce(book_title, '') AS markdown FROM b "
+    "UNION ALL SELECT book_slug, section_pos, -1, chr(10) || repeat('#', least(6, level + 1)) || ' ' || coalesce(title, '') FROM s "
+    "UNION ALL SELECT book_slug, section_pos, para_pos, chr(10) || CASE WHEN is_table AND len(table_grid) > 0 THEN array_to_string(list_concat(['| ' || array_to_string(list_transform(table_grid[1], lambda c: coalesce(c, '')), ' | ') || ' |', '|' || array_to_string(list_transform(table_grid[1], lambda c: '---'), '|') || '|'], list_transform(table_grid[2:], lambda q: '| ' || array_to_string(list_transform(q, lambda c: coalesce(c, '')), ' | ') || ' |')), chr(10)) ELSE coalesce(text, '') END || chr(10) || '^' || coalesce(paragraph_id, '') FROM p) "
+    f"{_MD} r"
+)
 def snk04_source_markdown(s: SparkSession, d: str) -> DataFrame:
     return render.source_markdown(books(s, d), sections(s, d), paragraphs(s, d))
 
 
-@query()
+@query(
+    f"WITH {_C}, {_I}, {_B}, {_D}, k AS (SELECT d.book_slug, d.section_pos, d.chapter_title, thesis FROM d LEFT JOIN c ON c.book_slug = d.book_slug AND c.section_pos = d.section_pos), {_TITLED}, "
+    "l AS (SELECT book_slug, section_pos, string_agg(coalesce(name, ''), ', ' ORDER BY item_pos) FILTER (item_type = 'framework') AS fws, string_agg(coalesce(name, ''), ', ' ORDER BY item_pos) FILTER (item_type = 'example') AS exs FROM i GROUP BY ALL), "
+    "x AS (SELECT d.book_slug, d.section_pos, d.chapter_title, titled.title, c.thesis, c.book_slug IS NOT NULL AS has_spine, argumentative_moves, fws, exs, regexp_replace(coalesce(body_md, ''), '\\[p:([a-f0-9-]+)\\]', '[[' || d.book_slug || '.source#^\\1|↗]]', 'g') AS body FROM d JOIN titled USING (book_slug, section_pos) LEFT JOIN c USING (book_slug, section_pos) LEFT JOIN l USING (book_slug, section_pos)), "
+    "r AS (SELECT book_slug, -1 AS section_pos, 0 AS place, '# ' || coalesce(book_title, '') || chr(10) || chr(10) || '*Distilled from \"' || coalesce(book_title, '') || '\"' || CASE WHEN coalesce(book_author, '') <> '' THEN ' by ' || book_author ELSE '' END || '.*' || chr(10) || '*~' || (w // 275) || ' pages. Generated 2025-01-01.*' || chr(10) || chr(10) || '---' AS markdown FROM b JOIN (SELECT book_slug, sum(coalesce(word_count, 0))::BIGINT AS w FROM d GROUP BY 1) USING (book_slug) "
+    "UNION ALL SELECT book_slug, section_pos, 0, chr(10) || '## ' || coalesce(title, '') || chr(10) || chr(10) || CASE WHEN has_spine THEN '> [!abstract]- Spine' || chr(10) || '> **Thesis:** ' || coalesce(thesis, '') || coalesce(chr(10) || '>' || chr(10) || '> **Frameworks:** ' || fws, '') || coalesce(chr(10) || '>' || chr(10) || '> **Key examples:** ' || exs, '') || CASE WHEN len(argumentative_moves) > 0 THEN chr(10) || '>' || chr(10) || '> **Argument flow:**' || chr(10) || array_to_string(list_transform(argumentative_moves, lambda m, n: '> ' || n || '. ' || m), chr(10)) ELSE '' END || chr(10) || chr(10) ELSE '' END "
+    "|| CASE WHEN regexp_extract(body, '^##\\s+([^\\n]*?)\\s*\\n', 1) = chapter_title AND chapter_title <> '' THEN regexp_replace(body, '^##\\s+[^\\n]*\\n', '') ELSE body END FROM x) "
+    f"{_MD} r"
+)
 def snk05_distillation_markdown(s: SparkSession, d: str) -> DataFrame:
     return render.distillation_markdown(books(s, d), chapters(s, d), items(s, d), bodies(s, d), "2025-01-01")
 
 
-@query()
+@query(
+    f"WITH {_C}, {_I}, {_B}, r AS (SELECT book_slug, -1 AS section_pos, 0 AS place, '# ' || coalesce(book_title, '') || ' — Spine' AS markdown FROM b "
+    "UNION ALL SELECT book_slug, section_pos, 0, chr(10) || '## ' || coalesce(chapter_title, '') || chr(10) || chr(10) || '**Thesis:** ' || coalesce(thesis, '') FROM c "
+    "UNION ALL SELECT book_slug, section_pos, CASE item_type WHEN 'framework' THEN 1 WHEN 'example' THEN 2 ELSE 4 END, chr(10) || '**' || CASE item_type WHEN 'framework' THEN 'Frameworks' WHEN 'example' THEN 'Key examples' ELSE 'Key terms' END || ':**' || chr(10) || string_agg('- **' || coalesce(name, '') || '**: ' || coalesce(detail, ''), chr(10) ORDER BY item_pos) FROM i SEMI JOIN c USING (book_slug, section_pos) GROUP BY book_slug, section_pos, item_type "
+    "UNION ALL SELECT book_slug, section_pos, 3, chr(10) || '**Argument flow:**' || chr(10) || array_to_string(list_transform(argumentative_moves, lambda m, n: n || '. ' || m), chr(10)) FROM c WHERE len(argumentative_moves) > 0 "
+    "UNION ALL SELECT book_slug, section_pos, 9, chr(10) || '---' FROM c) "
+    f"{_MD} r"
+)
 def snk06_spine_markdown(s: SparkSession, d: str) -> DataFrame:
     return render.spine_markdown(books(s, d), chapters(s, d), items(s, d))
 
@@ -466,12 +502,29 @@ def snk08_output_manifest(s: SparkSession, d: str) -> DataFrame:
     return render.output_manifest(books(s, d), bodies(s, d), coverage.verdicts(_missing(s, d), chapters(s, d)))
 
 
-@query()
+@query(f"WITH {_C}, {_I}, k AS (SELECT book_slug, section_pos, chapter_title, thesis FROM c), {_TITLED} SELECT * FROM titled")
 def fn17_chapter_titles(s: SparkSession, d: str) -> DataFrame:
-    return render.chapter_titles(chapters(s, d).select("book_slug", "section_pos", F.lit("Part 2").alias("chapter_title"), "thesis"), items(s, d))
+    return render.chapter_titles(chapters(s, d).select("book_slug", "section_pos", "chapter_title", "thesis"), items(s, d))
+
+
+@query(f"WITH {_C}, {_I}, k AS (SELECT book_slug, section_pos, CASE section_pos % 3 WHEN 0 THEN 'Part 2' WHEN 1 THEN 'Body (Part 1)' ELSE 'Front Matter' END AS chapter_title, thesis FROM c), {_TITLED} SELECT * FROM titled")
+def fn17_generic_titles(s: SparkSession, d: str) -> DataFrame:
+    """The titles that splitting gives, which the chapters here have not."""
+    kind = F.col("section_pos") % 3
+    title = F.when(kind == 0, "Part 2").when(kind == 1, "Body (Part 1)").otherwise("Front Matter")
+    return render.chapter_titles(chapters(s, d).select("book_slug", "section_pos", title.alias("chapter_title"), "thesis"), items(s, d))
 
 
 @query()
+def snk07_epub_chapters(s: SparkSession, d: str) -> DataFrame:
+    return render.epub_chapters(chapters(s, d), items(s, d), bodies(s, d))
+
+
+@query(
+    f"WITH {_D}, b AS (SELECT book_slug, section_pos, list_filter(list_transform(string_split(regexp_replace(body_md, '\\s*\\[p:[a-f0-9-]+(?:,\\s*p:[a-f0-9-]+)*\\]', '', 'g'), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS blocks FROM d WHERE body_md IS NOT NULL), "
+    "h AS (SELECT *, coalesce(list_position(list_transform(blocks, lambda x: starts_with(x, '#')), true), 0) AS first FROM b) "
+    "SELECT book_slug, section_pos, array_to_string(list_transform(list_filter(blocks, lambda x, i: i <> first), lambda x: CASE WHEN starts_with(x, '### ') THEN '<h3>' || substr(x, 5) || '</h3>' WHEN starts_with(x, '## ') THEN '<h3>' || substr(x, 4) || '</h3>' ELSE '<p>' || regexp_replace(regexp_replace(x, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g'), '\\*(.+?)\\*', '<em>\\1</em>', 'g') || '</p>' END), chr(10)) AS html FROM h"
+)
 def fn18_html_bodies(s: SparkSession, d: str) -> DataFrame:
     return bodies(s, d).filter("body_md is not null").select("book_slug", "section_pos", md.html_blocks(F.col("body_md")).alias("html"))
 
@@ -479,7 +532,14 @@ def fn18_html_bodies(s: SparkSession, d: str) -> DataFrame:
 # Sources and streams.
 
 
-@query()
+_CUT = f"(?im)^[ \\t]*((?:chapter|part)\\s+(?:\\d+|{_NUM})[:.]?\\s*.*|introduction|preface|prologue|epilogue|conclusion|afterword)$"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, t, regexp_extract_all(t, '{_CUT}', 1) AS titles, string_split_regex(t, '{_CUT}') AS bodies FROM t), "
+    "s AS (SELECT doc_id, unnest(range(0, len(titles)))::INT AS section_pos, unnest(list_transform(titles, lambda x: trim(x, ' '))) AS title, unnest(bodies[2:]) AS body FROM x WHERE len(titles) > 0 UNION ALL SELECT doc_id, 0, 'Body', t FROM x WHERE len(titles) = 0), "
+    "p AS (SELECT doc_id, section_pos, title, unnest(string_split(body, chr(10) || chr(10))) AS p FROM s) SELECT doc_id, section_pos, title, count(*) AS paragraphs FROM p WHERE trim(regexp_replace(p, '[\\s\\x0b]', '', 'g'), ' ') <> '' GROUP BY ALL"
+)
 def src19_heading_sections(s: SparkSession, d: str) -> DataFrame:
     return plain.split_by_headings(table(s, d, "documents", "doc_id", "text")).groupBy("doc_id", "section_pos", "title").agg(F.count("*").alias("paragraphs"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import word_count
 from quire.operators import budget, condense, coverage, render, structure
-from quire.sinks.files import is_complete, write_texts
+from quire.sinks.files import epubs, is_complete, write_epubs, write_texts
 from quire.sources import epub, plain
 
 Tables = dict[str, DataFrame]
@@ -152,6 +152,9 @@ def run_pipeline(spark: SparkSession, source: str, folder: str, config: dict[str
 
 
 def export(run: Run, folder: str) -> None:
-    """The rendered books as files, side by side."""
+    """The rendered books as files side by side: Markdown, and EPUBs of the condensed chapters."""
+    folder = folder.rstrip("/")
     for table, suffix in (("distillation_md", ".md"), ("spine_md", ".spine.md"), ("source_md", ".source.md")):
-        write_texts(run.table(table), f"{folder.rstrip('/')}/{table}", "book_slug", "markdown", suffix)
+        write_texts(run.table(table), f"{folder}/{table}", "book_slug", "markdown", suffix, render.ORDER)
+    pages = render.epub_chapters(run.table("spine_chapters"), run.table("spine_items"), run.table("distilled"))
+    write_epubs(epubs(run.table("books"), pages), f"{folder}/epub")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.text import slug, title_case, word_count
-from quire.operators.structure import NUMBER_WORDS
+from quire.operators.structure import MATTER_WORDS, NUMBER_WORDS
 
-#: Headings in a whole text; what follows the number may run on to the next line that is not empty (fixed value).
-HEADING = rf"(?im)^[ \t]*((?:chapter|part)\s+(?:\d+|{NUMBER_WORDS.replace(' ', '|')})[:.]?\s*.*)$"
+#: Headings in a whole text; what follows a number may run on to the next line that is not empty (fixed value).
+HEADING = rf"(?im)^[ \t]*((?:chapter|part)\s+(?:\d+|{NUMBER_WORDS})[:.]?\s*.*|{MATTER_WORDS})$"
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +28,7 @@ def title_of(path: Column, stated: Column) -> Column:
 
 
 def split_by_headings(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, section_pos, title, para_pos, paragraph) of texts cut at chapter and part headings.
+    """(key, section_pos, title, para_pos, paragraph) of texts cut at chapter and part headings, and at those that are one word.
 
     Text before the first heading is dropped; one without any heading is one
     section ``Body``, whose paragraphs keep their blanks at the ends.

@@ -56,7 +56,7 @@ CASES = [
 
 @pytest.mark.parametrize("text,needle,threshold,tier", CASES)
 def test_match_tiers(spark, text, needle, threshold, tier):
-    assert one(spark, [(0, text, needle)], coverage.match_tier(F.col("a"), F.col("b"), threshold)) == [tier]
+    assert one(spark, [(0, text, needle)], coverage.match_tier(coverage.match_forms(F.col("a")), F.col("b"), threshold)) == [tier]
 
 
 def test_near_tokens_against_all_windows(spark):
@@ -70,7 +70,7 @@ def test_near_tokens_against_all_windows(spark):
         need = max(1, int(len(n) * 0.75))
         want.append(any(sum(w in h[k : k + 50] for w in n) >= need for k in range(max(0, len(h) - 50) + 1)))
         rows.append((i, " ".join(h), " ".join(n)))
-    assert one(spark, rows, coverage.near_tokens(F.col("a"), F.col("b"))) == want
+    assert one(spark, rows, coverage.near_tokens(F.split("a", " "), F.col("b"))) == want
 
 
 def test_merge_overlap(spark):
@@ -94,7 +94,7 @@ def test_tables(spark):
 
 def test_html(spark):
     text = "## Title\n\nSome **bold** and *thin*.\n\n### Sub"
-    assert one(spark, [(0, text, "")], md.html_blocks(F.col("a"))) == ["<p>Some <strong>bold</strong> and <em>thin</em>.</p>\n<h4>Sub</h4>"]
+    assert one(spark, [(0, text, "")], md.html_blocks(F.col("a"))) == ["<p>Some <strong>bold</strong> and <em>thin</em>.</p>\n<h3>Sub</h3>"]
 
 
 def test_smart_titles(spark):
@@ -107,8 +107,8 @@ def test_smart_titles(spark):
 
 
 def test_heading_levels(spark):
-    rows = [(i, t, "") for i, t in enumerate(["Chapter 4", "2.1 Scope", "1.2.3.4.5.6.7 Deep", "3 Flat", "Other", "PREFACE"])]
-    assert one(spark, rows, structure.heading_level(F.col("a"), F.lit(9))) == [1, 2, 6, 9, 9, 1]
+    rows = [(i, t, "") for i, t in enumerate(["Chapter 4", "2.1 Scope", "1.2.3.4.5.6.7 Deep", "3 Flat", "Other", "PREFACE", "Section 2.1", "Appendix 1.2", "Introduction to X", " part two", "Partial"])]
+    assert one(spark, rows, structure.heading_level(F.col("a"), F.lit(9))) == [1, 2, 6, 1, 9, 1, 2, 2, 9, 1, 9]
 
 
 def test_truncation_rule(spark):
