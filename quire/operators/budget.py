@@ -71,6 +71,16 @@ def effective_ratios(targets_: DataFrame, low: float = 0.15, high: float = 0.50,
     return by.withColumn("effective", e).withColumn("degenerate", ~F.col("effective").between(low, high)).select("book_slug", "words", "effective", "degenerate", F.when(F.col("degenerate"), uniform).otherwise(F.col("effective")).alias("used"))
 
 
+def evened(targets_: DataFrame, uniform: float) -> DataFrame:
+    """Targets of books whose ratio as a whole is out of bounds by the uniform ratio, all others as they are."""
+    bad = effective_ratios(targets_, uniform=uniform).filter("degenerate").select("book_slug", F.lit(True).alias("bad"))
+    ratio = F.when(F.coalesce("bad", F.lit(False)), F.lit(float(uniform))).otherwise(F.col("ratio"))
+    x = targets_.join(bad, "book_slug", "left").withColumn("ratio", ratio)
+    target = F.greatest(F.lit(LEAST_TARGET).cast("bigint"), (F.col("words").cast("double") * F.col("ratio")).cast("bigint"))
+    y = x.withColumn("target_words", F.when(F.coalesce("bad", F.lit(False)), target).otherwise(F.col("target_words")))
+    return y.select("book_slug", "section_pos", "words", "ratio", "target_words", (F.col("target_words") / F.greatest(F.lit(1).cast("bigint"), F.col("words")).cast("double") * F.lit(100.0)).cast("bigint").alias("pct"))
+
+
 def coverage_audit(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(book_slug, declared, detected, paragraphs, tables, coverage_pct, passed): chapters that have text against those declared."""
     has = paragraphs.filter("n_words > 0").select("book_slug", "section_pos").distinct()

@@ -139,13 +139,24 @@ def split_titles(parts: DataFrame, sections: DataFrame) -> DataFrame:
     from quire.functions.ids import section_id
 
     many = parts.groupBy("book_slug", "section_pos").agg(F.max("part").alias("parts"))
-    each = parts.select("book_slug", "section_pos", "part").distinct().join(many, ["book_slug", "section_pos"])
-    x = each.join(sections.select("book_slug", "section_pos", F.col("title").alias("own")), ["book_slug", "section_pos"])
+    x = sections.select("book_slug", "section_pos", F.col("title").alias("own")).join(many, ["book_slug", "section_pos"], "left").na.fill(1, ["parts"])
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     title = F.when(F.col("parts") > 1, F.concat(F.coalesce("own", F.lit("")), F.lit(" (Part "), F.col("part").cast("string"), F.lit(")"))).otherwise(F.col("own"))
     x = x.withColumn("title", title)
     return x.select("book_slug", "section_pos", "part", "title", section_id(F.coalesce("title", F.lit("")), F.lit(1), F.array().cast("array<string>")).alias("section_id"))
 
 
+def in_parts(sections: DataFrame, paragraphs: DataFrame, over: int = 8000, target: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(sections, paragraphs) with oversized sections as several ones, numbered anew in order; sections without subsections, as plain books have them."""
+    parts = greedy_parts(paragraphs, over, target)
+    named = split_titles(parts, sections)
+    pos = (F.row_number().over(Window.partitionBy("book_slug").orderBy("section_pos", "part")) - 1).alias("new_pos")
+    placed = named.select("book_slug", "section_pos", "part", "title", "section_id", pos)
+    new = placed.select("book_slug", F.col("new_pos").alias("section_pos"), "section_id", "title", F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_pos"), F.col("new_pos").alias("top_pos"), F.array("title").alias("path"))
+    moved = parts.join(placed.select("book_slug", "section_pos", "part", "new_pos"), ["book_slug", "section_pos", "part"]).drop("section_pos", "part").withColumnRenamed("new_pos", "section_pos")
+    return new, moved.select(*paragraphs.columns)
+
+
 def preview(paragraphs: DataFrame, sections: DataFrame, limit: int = 200) -> DataFrame:
     """(book_slug, section_pos, preview): the first words of a section's own text, then of that of its direct subsections."""
     own = sections.select("book_slug", "section_pos", F.col("section_pos").alias("of_pos"), F.lit(0).alias("depth"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions.text import word_count
 from quire.operators import budget, condense, coverage, render, structure
 from quire.sinks.files import epubs, is_complete, write_epubs, write_texts
+from quire.session import materialize
 from quire.sources import epub, plain
 
 Tables = dict[str, DataFrame]
@@ -32,19 +33,21 @@ class Run:
 
 
 def ingest(run: Run) -> Tables:
-    """Text files by their headings, EPUBs by their pages."""
-    texts = plain.read_text(run.spark, f"{run.source}/*.txt").withColumn("title", F.lit(None).cast("string")).withColumn("author", F.lit(None).cast("string"))
-    meta, pages = epub.read_epub(run.spark, run.source)
-    merged = epub.plain_text(pages).join(meta, "path", "left")
+    """Text files by their headings; EPUBs by their pages, else by the headings among their paragraphs, else by those of all their text, so that every book is kept."""
+    texts = plain.read_text(run.spark, f"{run.source}/*.{{txt,text,md,markdown,rst}}").withColumn("title", F.lit(None).cast("string")).withColumn("author", F.lit(None).cast("string"))
+    meta, html = epub.read_pages(run.spark, run.source)
+    pages = materialize(epub.html_sections(html), "ingest-pages")
     by_page = epub.strategy(pages).filter("strategy = 'pages'").select("path")
-    b1, s1, p1 = plain.to_tables(texts.unionByName(merged.join(by_page, "path", "left_anti").select("path", "text", "title", "author")))
-    b2, s2, p2 = _from_pages(pages.join(by_page, "path"), meta)
-    paras = p1.unionByName(p2)
-    split = structure.greedy_parts(paras, run.config["ingest"]["split_over"], run.config["ingest"]["split_target"])
-    return {"books": b1.unionByName(b2), "sections": s1.unionByName(s2), "paragraphs": split}
+    cut = epub.resplit(pages.join(by_page, "path", "left_anti"))
+    placed = by_page.unionByName(cut.select("path").distinct())
+    merged = epub.plain_text(html).join(meta, "path", "left")
+    b1, s1, p1 = plain.to_tables(texts.unionByName(merged.join(placed, "path", "left_anti").select("path", "text", "title", "author")))
+    b2, s2, p2 = _from_pages(pages.join(by_page, "path").select("path", "pos", "title", "paragraphs", "n_words").unionByName(cut), meta, merged.select("path", "text"))
+    sections, paras = structure.in_parts(materialize(s1.unionByName(s2), "ingest-sections"), materialize(p1.unionByName(p2), "ingest-paragraphs"), run.config["ingest"]["split_over"], run.config["ingest"]["split_target"])
+    return {"books": b1.unionByName(b2), "sections": sections, "paragraphs": paras}
 
 
-def _from_pages(pages: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _from_pages(pages: DataFrame, meta: DataFrame, text: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     from quire.functions.ids import paragraph_id, section_id
@@ -56,7 +59,6 @@ def _from_pages(pages: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame
     each = x.select("book_slug", "section_pos", "title", F.posexplode("paragraphs").alias("k", "text"))
     pos = F.row_number().over(Window.partitionBy("book_slug").orderBy("section_pos", "k")) - 1
     paras = each.withColumn("pos", pos).select("book_slug", F.col("pos").alias("para_pos"), "section_pos", paragraph_id(F.col("text"), F.array("title"), one).alias("paragraph_id"), "text", one.alias("page_start"), one.alias("page_end"), F.lit(False).alias("is_footnote"), F.lit(False).alias("is_table"), F.lit(None).cast("array<array<string>>").alias("table_grid"), word_count(F.col("text")).alias("n_words"))
-    text = epub.plain_text(pages)
     n = pages.groupBy("path").agg(F.sum("n_words").cast("bigint").alias("word_count"))
     books = text.join(n, "path").join(meta, "path", "left").select(plain.book_slug(F.col("path")).alias("book_slug"), plain.title_of(F.col("path"), F.col("title")).alias("book_title"), F.col("author").alias("book_author"), F.lit("epub").alias("source_format"), F.col("path").alias("source_path"), estimated_pages(F.col("text")).cast("int").alias("page_count"), "word_count", F.lit("fallback").alias("parser"), F.lit("auto").alias("parser_mode"))
     return books, sections, paras
@@ -67,8 +69,8 @@ def classify(run: Run) -> Tables:
     kinds = s.select("book_slug", "section_pos", budget.type_by_title(F.col("title")).alias("section_type"), F.lit(1).alias("seq"))
     classed = budget.with_classes(s, kinds)
     words = budget.section_words(run.table("paragraphs"), s)
-    scale = run.config["distill"]["compression_ratio"] / 0.30
-    return {"classes": classed, "targets": budget.targets(words, classed, scale), "audit": budget.coverage_audit(s, run.table("paragraphs"))}
+    targets = budget.evened(budget.targets(words, classed), run.config["distill"]["compression_ratio"])
+    return {"classes": classed, "targets": targets, "audit": budget.coverage_audit(s, run.table("paragraphs"))}
 
 
 def spine(run: Run) -> Tables:

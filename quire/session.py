@@ -55,18 +55,43 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[0]
 
 
+_WRITTEN: dict[str, tuple[SparkSession, list[str]]] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage before it is used more than once. The files outlive any
-    executor, so a lost one costs only the tasks it was running.
+    executor, so a lost one costs only the tasks it was running. They go when
+    the application ends, or before by ``clean_up``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-work/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = spark, []
+        atexit.register(clean_up, spark)
+    _WRITTEN[app][1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Remove what this application has materialized; frames read from it can no longer be used. The number of folders removed."""
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped
+        return 0
+    paths = _WRITTEN.get(context.applicationId, (spark, []))[1]
+    removed = 0
+    while paths:
+        try:
+            p = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+            removed += bool(p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True))
+        except Exception:  # noqa: BLE001  the context may be going away; what is left is only space
+            return removed
+    return removed
+
+
 _SHIPPED: set[str] = set()
 
 

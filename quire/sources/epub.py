@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
 from collections.abc import Iterator
 
@@ -53,14 +52,22 @@ def metadata(pk: DataFrame) -> DataFrame:
     return pk.select("path", t("//metadata/title").alias("title"), t("//metadata/creator").alias("author"))
 
 
+def member_path(opf: Column, href: Column) -> Column:
+    """The member a package's reference names: relative to the package, steps up to eight levels resolved."""
+    p = F.concat(F.regexp_extract(opf, "^(.*/)?[^/]*$", 1), F.regexp_replace(href, r"^(?:\./)+", ""))
+    p = F.regexp_replace(p, r"(?<=/)(?:\./)+", "")
+    for _ in range(8):
+        p = F.regexp_replace(p, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
+    return p
+
+
 def spine(pk: DataFrame, m: DataFrame) -> DataFrame:
     """(path, pos, name): HTML members in reading order; books without a package by name, but for META-INF."""
     arr = lambda x: F.xpath("xml", F.lit(x))
     item = F.explode(F.arrays_zip(arr("//manifest/item/@id").alias("id"), arr("//manifest/item/@href").alias("href"), arr("//manifest/item/@media-type").alias("kind")))
     items = pk.select("path", "opf", item.alias("i")).select("path", "opf", "i.*").filter(F.contains("kind", F.lit("html")))
     refs = pk.select("path", F.posexplode(arr("//spine/itemref/@idref")).alias("pos", "id"))
-    join_path = F.udf(lambda opf, href: posixpath.normpath(posixpath.join(posixpath.dirname(opf), href)), "string")
-    known = refs.join(items, ["path", "id"]).select("path", "pos", join_path("opf", "href").alias("name"))
+    known = refs.join(items, ["path", "id"]).select("path", "pos", member_path(F.col("opf"), F.col("href")).alias("name"))
     html = m.filter(F.lower("name").rlike(r"\.(xhtml|html|htm)$") & ~F.col("name").startswith("META-INF/"))
     rest = html.join(known.select("path").distinct(), "path", "left_anti").select("path", "name")
     from pyspark.sql import Window
@@ -99,20 +106,43 @@ def html_sections(pages: DataFrame, least_chars: int = 10, least_words: int = 30
     return y.withColumn("n_words", word_count(F.array_join("paragraphs", " "))).filter(F.col("n_words") >= least_words)
 
 
-def read_epub(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(metadata, sections) of all EPUBs under a path."""
+def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(metadata, pages) of all EPUBs under a path; pages are (path, pos, name, html) in reading order."""
     m = members(spark, path)
     pk = packages(m)
-    pages = spine(pk, m).join(m.select("path", "name", F.col("content").alias("html")), ["path", "name"])
-    return metadata(pk), html_sections(pages)
+    return metadata(pk), spine(pk, m).join(m.select("path", "name", F.col("content").alias("html")), ["path", "name"])
 
 
-def plain_text(sections: DataFrame) -> DataFrame:
-    """(path, text): a book's pages in order, apart by blank lines."""
-    by = sections.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", F.array_join("paragraphs", "\n").alias("t")))).alias("a"))
+def read_epub(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(metadata, sections) of all EPUBs under a path."""
+    meta, pages = read_pages(spark, path)
+    return meta, html_sections(pages)
+
+
+def plain_text(pages: DataFrame) -> DataFrame:
+    """(path, text): all lines of a book's pages in order, headings and short pages included; pages are apart by blank lines."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style|svg)\b.*?</\1\s*>|<!--.*?-->|<\?.*?\?>|<![^>]*>", "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(bare, r"<[^>]*>", "\n"), "\n"), text_of), lambda t: t != "")
+    by = pages.filter("html is not null").select("path", "pos", F.array_join(lines, "\n").alias("t")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("a"))
     return by.select("path", F.array_join(F.filter(F.transform("a", lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("text"))
 
 
+def resplit(sections: DataFrame) -> DataFrame:
+    """Sections as ``html_sections`` gives them, cut anew at the headings among their paragraphs; only books that have two or more such."""
+    from quire.operators.structure import assign_sections, is_chapter_heading, is_matter_heading
+
+    lines = sections.select("path", F.col("pos").alias("page"), F.posexplode("paragraphs").alias("k", "line")).withColumn("n_words", word_count(F.col("line")))
+    lines = lines.withColumn("pos", F.struct("page", "k"))
+    x = assign_sections(lines, is_chapter_heading(F.col("line")) | is_matter_heading(F.col("line")), "path").filter(F.col("is_body") & F.col("section_start").isNotNull())
+    many = x.groupBy("path").agg(F.count_distinct("section_start").alias("n")).filter("n > 1").select("path")
+    by = x.join(many, "path").groupBy("path", "section_start", "title").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "n_words"))).alias("a"))
+    from pyspark.sql import Window
+
+    pos = F.row_number().over(Window.partitionBy("path").orderBy("section_start")) - 1
+    words = F.aggregate("a", F.lit(0).cast("bigint"), lambda n, y: n + y["n_words"])
+    return by.select("path", pos.alias("pos"), "title", F.transform("a", lambda y: y["line"]).alias("paragraphs"), words.alias("n_words"))
+
+
 def strategy(sections: DataFrame) -> DataFrame:
     """(path, sections, strategy): by pages where three or more have real titles, else by headings in the merged text."""
     from quire.operators.structure import is_real_title

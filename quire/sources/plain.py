@@ -46,6 +46,14 @@ def split_by_headings(texts: DataFrame, key: str = "doc_id", text: str = "text")
     return out.filter(F.trim(F.regexp_replace("paragraph", r"\s", "")) != "")
 
 
+def headings(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section_pos, title) of the sections ``split_by_headings`` makes, those without paragraphs included; blank texts have none."""
+    t = F.regexp_replace(F.col(text), "\r\n?", "\n")
+    titles = F.regexp_extract_all(t, F.lit(HEADING), F.lit(1))
+    named = F.when(F.size(titles) > 0, F.transform(titles, lambda x: F.trim(x))).otherwise(F.array(F.lit("Body")))
+    return texts.filter(F.trim(F.regexp_replace(text, r"\s", "")) != "").select(key, F.posexplode(named).alias("section_pos", "title"))
+
+
 def to_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(books, sections, paragraphs) of (path, text, title, author): the relational model of plain books."""
     from quire.functions.ids import paragraph_id, section_id
@@ -55,7 +63,7 @@ def to_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cut = split_by_headings(base, "book_slug")
     pos = F.row_number().over(Window.partitionBy("book_slug").orderBy("section_pos", "para_pos")) - 1
     paras = cut.withColumn("pos", pos).select("book_slug", F.col("pos").alias("para_pos"), "section_pos", paragraph_id(F.col("paragraph"), F.array("title"), F.lit(1)).alias("paragraph_id"), F.col("paragraph").alias("text"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit(False).alias("is_footnote"), F.lit(False).alias("is_table"), F.lit(None).cast("array<array<string>>").alias("table_grid"), word_count(F.col("paragraph")).alias("n_words"))
-    heads = cut.select("book_slug", "section_pos", "title").distinct()
+    heads = headings(base, "book_slug")
     none = F.array().cast("array<string>")
     sections = heads.select("book_slug", "section_pos", section_id(F.col("title"), F.lit(1), none).alias("section_id"), "title", F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_pos"), F.col("section_pos").alias("top_pos"), F.array("title").alias("path"))
     n = paras.groupBy("book_slug").agg(F.sum("n_words").alias("word_count"))

@@ -65,7 +65,55 @@ def test_run_resume_and_export(spark, library):
     assert [h for _, h in again.done] == ["kept"] * 5
     pipeline.export(run, str(tmp / "out"))
     text = (next((tmp / "out" / "source_md").glob("file=three-parts*/*.txt"))).read_text()
-    assert text.startswith("# Three Parts\n") and "## Chapter 1: Part Foundations" in text and "\n^" in text
+    assert text.startswith("# Three Parts\n\n## Chapter 1: Part Foundations\n") and "\n^" in text
+    with zipfile.ZipFile(tmp / "out" / "epub" / "three-parts.epub") as z:
+        page = z.read("OEBPS/chapter1.xhtml").decode()
+    assert 'class="spine-callout"' in page and "[p:" not in page
+
+
+def test_epubs_of_every_shape_are_kept(spark, tmp_path):
+    src = tmp_path / "books"
+    src.mkdir()
+    short = [(f"Chapter {i}", "<h2>Chapter %d: Start</h2><p>Only a few words.</p>" % i) for i in range(1, 4)]
+    (src / "short.epub").write_bytes(files.epub_bytes("Short", None, short, "short"))
+    two = [("index split 000", "<p>Front</p>" + "".join(f"<p>Chapter {i} Of Two</p>" + f"<p>{SENT * 8}</p>" for i in (1, 2)))]
+    (src / "two.epub").write_bytes(files.epub_bytes("Two", "A B", two, "two"))
+    (src / "long.txt").write_text("Introduction\n" + SENT + "\n\nChapter 1: A\n" + "\n\n".join(SENT * 50 for _ in range(10)) + "\n\nConclusion\n" + SENT)
+    run = pipeline.run_pipeline(spark, str(src), str(tmp_path / "run"), config.load(), until="classify")
+    assert {r.book_slug for r in run.table("books").collect()} == {"short", "two", "long"}
+    got = {}
+    for r in run.table("sections").orderBy("section_pos").collect():
+        got.setdefault(r.book_slug, []).append(r.title)
+    assert got["two"] == ["Chapter 1 Of Two", "Chapter 2 Of Two"]
+    assert got["long"] == ["Introduction", "Chapter 1: A (Part 1)", "Chapter 1: A (Part 2)", "Conclusion"]
+    assert any("Only a few words." in r.text for r in run.table("paragraphs").filter("book_slug = 'short'").collect())
+    words = {r.book_slug: r.n for r in run.table("paragraphs").groupBy("book_slug").agg(F.sum("n_words").alias("n")).collect()}
+    assert words["long"] == len((SENT * 502).split())
+
+
+def test_member_paths(spark):
+    rows = [("OEBPS/content.opf", "text/a.html", "OEBPS/text/a.html"), ("OEBPS/x/content.opf", "../text/a.html", "OEBPS/text/a.html"), ("content.opf", "./a.html", "a.html"), ("a/b/c.opf", "../../d/../e.html", "e.html")]
+    df = spark.createDataFrame(rows, "opf string, href string, want string")
+    assert df.filter(epub.member_path(F.col("opf"), F.col("href")) != F.col("want")).count() == 0
+
+
+def test_degenerate_books_take_the_uniform_ratio(spark):
+    rows = [("a", 0, 1000, 0.6, 600, 60), ("a", 1, 100, 0.3, 30, 30), ("b", 0, 1000, 0.3, 300, 30)]
+    df = spark.createDataFrame(rows, "book_slug string, section_pos int, words bigint, ratio double, target_words bigint, pct bigint")
+    from quire.operators import budget
+
+    got = {(r.book_slug, r.section_pos): (r.ratio, r.target_words) for r in budget.evened(df, 0.25).collect()}
+    assert got[("a", 0)] == (0.25, 250) and got[("b", 0)] == (0.3, 300)
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    import __spark_entry__ as entry
+
+    def missing(name):
+        raise ModuleNotFoundError(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert entry.queries() and not any(k.startswith("p1_") for k in entry.queries()) and entry.oracle_sql()
 
 
 def test_stage_order():
