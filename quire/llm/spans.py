@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.session import materialize
 
@@ -136,8 +136,8 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def subtree_repeats(suffixes: list[tuple[int, int, str, str]], least: int) -> Iterator[tuple[int, int, int, int]]:
-    """(node, record, start, end) of the repeats of one group of suffixes.
+def subtree_repeats(suffixes: list[tuple[int, int, str, str]], least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(node, record, start, end, start of what all share) of the repeats of one group of suffixes.
 
     A suffix is (record, position, text before it reversed, text from it on),
     both texts as far as they matter. Every internal node of the subtree of
@@ -158,7 +158,7 @@ def subtree_repeats(suffixes: list[tuple[int, int, str, str]], least: int) -> It
             stack.append((lcp[i], left))
 
 
-def _node(below: list[tuple[int, int, str, str]], depth: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+def _node(below: list[tuple[int, int, str, str]], depth: int, least: int) -> Iterator[tuple[int, int, int, int, int]]:
     if all(s[0] == below[0][0] for s in below):
         return
     need = max(0, least - depth)
@@ -184,17 +184,20 @@ def _node(below: list[tuple[int, int, str, str]], depth: int, least: int) -> Ite
                     if other >= 0:
                         reach[i] = max(reach[i], common)
                 before_i = i
+        # in order of what stands before them, the first and the last one have in common what all have
+        every = max(need, _common(members[0][2], members[-1][2]))
         for s, left in zip(members, reach):
-            yield node, s[0], s[1] - max(left, need), s[1] + depth
+            yield node, s[0], s[1] - max(left, need), s[1] + depth, s[1] - every
 
 
 def repeats(texts: DataFrame, least: int = 160) -> DataFrame:
-    """(node, record_id, start_pos, end_pos): where shared spans stand.
+    """(node, record_id, start_pos, end_pos, all_pos): where shared spans stand.
 
     ``texts`` has (record_id bigint, at timestamp, text); of the rows of one
     record the newest holds, tied ones are taken as identical. A node is one
     repeat, the stretch of text [start_pos, end_pos) of a record is covered by
-    it; a longer span gives a chain of overlapping nodes. Null texts and those
+    it; a longer span gives a chain of overlapping nodes. From ``all_pos`` on
+    the stretch is common to all records of the node. Null texts and those
     under ``least`` characters have none; text that repeats only within one
     record is no repeat. A null record_id is left out. Copies share one node
     for each stretch, whatever their number. Empty input gives an empty frame.
@@ -239,7 +242,7 @@ def repeats(texts: DataFrame, least: int = 160) -> DataFrame:
     suffixes = suffixes.withColumn("gram", F.xxhash64(F.substring("after", 1, K))).join(groups, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["node", "record_id", "start_pos", "end_pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names, kinds = ["node", "record_id", "start_pos", "end_pos", "all_pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
             for k in range(0, batch.num_rows, 16):
                 out: set[tuple] = set()
@@ -250,7 +253,7 @@ def repeats(texts: DataFrame, least: int = 160) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     small = suffixes.filter("length > 0").groupBy("length", "prefix").agg(F.collect_list(F.struct("record_id", "pos", "before", "after")).alias("s"))
-    trees = small.select("s").mapInArrow(run, "node bigint, record_id bigint, start_pos int, end_pos int")
+    trees = small.select("s").mapInArrow(run, "node bigint, record_id bigint, start_pos int, end_pos int, all_pos int")
 
     whole = F.concat(F.reverse(F.col("before")), F.col("after"))
     windows = (
@@ -262,15 +265,32 @@ def repeats(texts: DataFrame, least: int = 160) -> DataFrame:
     )
     windows = materialize(windows, "span-windows")
     many = windows.groupBy("node").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).filter("a < b").select("node")
-    leaves = windows.join(many, "node").select("node", "record_id", "start_pos", (F.col("start_pos") + least).alias("end_pos")).distinct()
+    leaves = windows.join(many, "node").select("node", "record_id", "start_pos", (F.col("start_pos") + least).alias("end_pos"), F.col("start_pos").alias("all_pos")).distinct()
     return trees.unionByName(leaves)
 
 
+#: Nodes of more records than HOT are joined with themselves in SALTS parts.
+HOT, SALTS = 1_000, 16
+
+
+def _same(h: Column) -> list[Column]:
+    """What tells sets apart, whatever the order and in fixed size."""
+    return [F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y")]
+
+
 def pairs(rep: DataFrame) -> DataFrame:
-    """(record_a, record_b), record_a < record_b: each two records with a repeat in common."""
-    m = rep.select("node", "record_id").distinct()
-    a, b = m.select("node", F.col("record_id").alias("record_a")), m.select("node", F.col("record_id").alias("record_b"))
-    return a.join(b, "node").filter("record_a < record_b").select("record_a", "record_b").distinct()
+    """(record_a, record_b), record_a < record_b: each two records with a repeat in common.
+
+    A long span makes a chain of nodes with the same records; of these one is
+    expanded. Nodes of many records are expanded in parts.
+    """
+    m = materialize(rep.select("node", "record_id").distinct(), "span-members")
+    one = m.groupBy("node").agg(*_same(F.xxhash64("record_id"))).groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", (F.col("n") > HOT).alias("hot"))
+    held = m.join(one, "node")
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    a = held.select("node", F.when(F.col("hot"), salt).otherwise(0).alias("salt"), F.col("record_id").alias("record_a"))
+    b = held.select("node", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), F.col("record_id").alias("record_b"))
+    return a.join(b, ["node", "salt"]).filter("record_a < record_b").select("record_a", "record_b").distinct()
 
 
 def shared_share(rep: DataFrame, texts: DataFrame) -> DataFrame:
@@ -296,5 +316,21 @@ def shared_share(rep: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def spans(rep: DataFrame) -> DataFrame:
-    """(node, n_records, first_record, n_chars): the repeats with the number of records that hold them."""
-    return rep.groupBy("node").agg(F.countDistinct("record_id").alias("n_records"), F.min("record_id").alias("first_record"), F.max(F.col("end_pos") - F.col("start_pos")).alias("n_chars"))
+    """(first_record, start_pos, end_pos, n_chars, n_records): the longest stretches that the same records share, as they stand in the least of these.
+
+    Overlapping nodes of the same records, as far apart in all of them, are
+    one stretch, however long. Where more records share a part of it, that
+    part is a row of its own, and if it lies in the middle the ends on both
+    sides are rows too. Where a record holds a stretch more than once its
+    first place counts.
+    """
+    m = materialize(rep.groupBy("node", "record_id").agg(F.min(F.struct("end_pos", "all_pos")).alias("p")).select("node", "record_id", "p.*"), "span-places")
+    first = m.groupBy("node").agg(F.min(F.struct("record_id", "all_pos", "end_pos")).alias("f")).select("node", F.col("f.record_id").alias("first_record"), F.col("f.all_pos").alias("a"), F.col("f.end_pos").alias("e"))
+    apart = m.join(first, "node").groupBy("node", "first_record", "a", "e").agg(*_same(F.xxhash64("record_id", F.col("end_pos") - F.col("e"))))
+    chain = ["first_record", "n", "x", "y"]
+    w = Window.partitionBy(*chain).orderBy("a", "e")
+    reached = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reached >= F.col("a"), 0).otherwise(1)
+    linked = apart.withColumn("begins", begins).withColumn("part", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = linked.groupBy(*chain, "part").agg(F.min("a").alias("start_pos"), F.max("e").alias("end_pos"))
+    return out.select("first_record", "start_pos", "end_pos", (F.col("end_pos") - F.col("start_pos")).alias("n_chars"), F.col("n").alias("n_records"))

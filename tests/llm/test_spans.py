@@ -70,6 +70,20 @@ def test_newest_rows_nulls_and_nothing(spark, at):
         spans.repeats(df, 50)
 
 
+@pytest.mark.parametrize("limit", [4000, 2])
+def test_spans_are_the_longest_that_the_same_records_share(spark, at, limit, monkeypatch):
+    monkeypatch.setattr(spans, "GROUP_LIMIT", limit)
+    rng = random.Random(11)
+    rand = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    long, short, inner = rand(900), rand(130), rand(101)
+    texts = {1: rand(49) + "A" + long + "B" + rand(30), 2: long + "C" + rand(20) + "D" + short, 3: rand(200) + "E" + short + "F", 5: rand(39) + "G" + inner + "H" + rand(300), 6: inner, 7: rand(500), 8: rand(2) + "I" + long, 9: rand(9) + "J" + short[:120]}
+    df = spark.createDataFrame([(i, at(), t) for i, t in texts.items()], "record_id bigint, at timestamp, text string")
+    got = {(r.first_record, r.start_pos, r.n_chars, r.n_records) for r in spans.spans(spans.repeats(df, LEAST)).collect()}
+    # one that more records share in part gives a row for that part
+    whole = {(1, 50, 900, 3), (2, 922, 120, 3), (5, 40, 101, 2)}
+    assert got >= whole and all(f == 2 and n == 2 and 922 <= a and a + size == 922 + 130 for f, a, size, n in got - whole), got
+
+
 def test_copies_share_their_nodes(spark, at):
     text = "".join(random.Random(1).choice(string.ascii_lowercase) for _ in range(500))
     df = spark.createDataFrame([(i, at(), text) for i in range(60)], "record_id bigint, at timestamp, text string")
