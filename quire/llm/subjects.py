@@ -4,8 +4,8 @@ Curated terms are matched with a multi-pattern automaton. All documents that
 the curated terms place clearly give further terms, and both kinds the weight
 they have for each subject; term rarity comes from all documents. A
 document is about its strongest subject where that is dense enough, and about
-each further one that comes near enough to it; a bounded sample of hand labels
-calibrates how near.
+each further one that comes near enough to it; all hand labels calibrate how
+near.
 """
 
 from __future__ import annotations
@@ -75,8 +75,6 @@ CURATED: dict[str, dict[str, str]] = {
 }
 SUBJECTS = tuple(CURATED["en"])
 
-#: Bound of the sample of label rows that a threshold is fitted on.
-FIT_LABELS = 5_000
 #: A document teaches terms if it has so many curated ones and so much of them on one subject.
 CLEAR_HITS, CLEAR_SHARE = 5, 0.8
 #: A word becomes a term if the lower bound of its share on one subject is at least this, and if such a part of all clear documents of its language has it, but no fewer than six. So the terms are as many as the vocabulary allows at most, whatever the corpus.
@@ -297,7 +295,7 @@ def score(matched: DataFrame, terms: list[tuple[str, str, str, float]], n_docs:
 
 
 def calibrate(scored: DataFrame, labels: DataFrame) -> float:
-    """The ratio threshold that fits a bounded sample of labelled documents best.
+    """The ratio threshold that fits all labelled documents best.
 
     Labels are trimmed and folded to lower case, repeated ones count once.
     Documents whose labels leave out their strongest subject are taken for
@@ -305,16 +303,17 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     With fewer than ``ENOUGH_LABELS`` the default stays.
     """
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(*SUBJECTS) & F.col("doc_id").isNotNull()).distinct()
-    total = clean.count()
-    if total < ENOUGH_LABELS:
+    if clean.count() < ENOUGH_LABELS:
         return RATIO
-    part = min(1.0, FIT_LABELS / total)
-    docs = clean.select("doc_id").distinct().filter(F.pmod(F.xxhash64(F.lit("cal"), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    rows = scored.join(docs, "doc_id").join(clean.withColumn("label", F.lit(True)), ["doc_id", "subject"], "left").select("doc_id", "ratio", "hits", "label").collect()
-    wrong = {r.doc_id for r in rows if r.ratio == 1.0 and not r.label}
-    further = [(r.ratio, bool(r.label)) for r in rows if r.doc_id not in wrong and r.ratio < 1.0 and r.hits >= FURTHER_HITS]
+    labelled = clean.groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
+    strongest, further = F.col("ratio") == 1.0, (F.col("ratio") < 1.0) & (F.col("hits") >= FURTHER_HITS)
+    told = scored.filter(strongest | further).join(labelled, "doc_id").select("doc_id", "ratio", F.array_contains("labels", F.col("subject")).alias("label"))
+    right = told.withColumn("wrong", F.max(strongest & ~F.col("label")).over(_by("doc_id"))).filter(~F.col("wrong") & (F.col("ratio") < 1.0))
     grid = [k / 100 for k in range(10, 45)]
-    errors = [sum((ratio >= x) != label for ratio, label in further) for x in grid]
+    reached = sum(((F.col("ratio") >= x).cast("int") for x in grid), F.lit(0))
+    # how many thresholds a subject reaches and whether it is a label: 72 rows at most
+    counts = right.groupBy(reached.alias("reached"), "label").agg(F.count("*").alias("n")).collect()
+    errors = [sum(r.n for r in counts if (r.reached > k) != r.label) for k in range(len(grid))]
     good = [x for x, n in zip(grid, errors) if n == min(errors)]
     return good[len(good) // 2]
 

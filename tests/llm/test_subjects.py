@@ -60,6 +60,26 @@ def test_calibration_by_labels(spark):
     assert right >= 240
 
 
+def test_calibration_takes_all_labels(spark):
+    # labels that favour no threshold by much, so that a part of them would give another
+    rng = random.Random(6)
+    scored, labels = [], [(None, "law"), (3, "astrology")]
+    for i in range(8_000):
+        ratio = rng.randrange(8, 47) / 100 + 0.005
+        hits = rng.choice([2.0, 4.5, 9.0])
+        both = rng.random() < 0.5
+        wrong = rng.random() < 0.1
+        scored += [(i, "law", 20.0, 1.0), (i, "music", hits, ratio)]
+        labels += [(i, "sport" if wrong else "Law "), (i, "sport" if wrong else "law")] + ([(i, "MUSIC")] if both else [])
+    labelled = {(i, s.strip().lower()) for i, s in labels}
+    told = [(ratio, (i, s) in labelled) for i, s, hits, ratio in scored if ratio < 1.0 and hits >= subjects.FURTHER_HITS and (i, "law") in labelled]
+    grid = [k / 100 for k in range(10, 45)]
+    errors = [sum((ratio >= x) != label for ratio, label in told) for x in grid]
+    assert errors.count(min(errors)) == 1
+    got = subjects.calibrate(spark.createDataFrame(scored, "doc_id bigint, subject string, hits double, ratio double"), spark.createDataFrame(labels, "doc_id bigint, subject string"))
+    assert got == grid[errors.index(min(errors))]
+
+
 def test_terms_are_learned(spark):
     rng = random.Random(3)
     rows = [(i, doc(rng, [("music", 10)]) + " zither", None) for i in range(30)] + [(100 + i, doc(rng, [("law", 10)]), None) for i in range(30)]
